@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["flow"]
+MODULES = ["flow", "facts", "graph"]
 
 
 def load() -> tuple[dict, dict]:

@@ -90,14 +90,15 @@ VIEWS = {
                CAST(p_size AS DOUBLE) AS lownormalvalue, p_size * 10.0::DOUBLE AS highnormalvalue
         FROM part""",
     "labevents": """
-        SELECT event_id AS labevent_id, user_id AS subject_id, k AS itemid,
+        SELECT event_id * 3 + j AS labevent_id, user_id AS subject_id, item AS itemid,
                CASE WHEN prev_type IS NOT NULL THEN user_id * 100000 + n_before
                     - CASE WHEN prev_type = 'purchase' THEN 1 ELSE 0 END END AS hadm_id,
-               date_trunc('second', ts) AS charttime, CASE WHEN k >= 5 THEN value END AS valuenum,
-               CASE WHEN k % 2 = 0 THEN 'mg' END AS valueuom,
-               CASE WHEN k <= 90 THEN k * 0.25::DOUBLE END AS ref_range_lower,
-               k * 0.75::DOUBLE + 5 AS ref_range_upper, CASE WHEN value > 40 THEN 'abnormal' END AS flag
-        FROM flow_events WHERE event_type = 'click'""",
+               date_trunc('second', ts) AS charttime, CASE WHEN item >= 5 THEN v END AS valuenum,
+               CASE WHEN item % 2 = 0 THEN 'mg' END AS valueuom,
+               CASE WHEN item <= 90 THEN item * 0.25::DOUBLE END AS ref_range_lower,
+               item * 0.75::DOUBLE + 5 AS ref_range_upper, CASE WHEN v > 40 THEN 'abnormal' END AS flag
+        FROM (SELECT *, (k + j) % 100 AS item, value + j * 0.5::DOUBLE AS v
+              FROM flow_events, (SELECT unnest([0, 1, 2])::BIGINT AS j) WHERE event_type = 'click')""",
     "lines": """
         SELECT l.*, o.o_custkey, o.o_orderdate, o.o_orderstatus, o.o_orderpriority
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",

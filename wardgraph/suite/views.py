@@ -206,19 +206,22 @@ class Views:
 
     @cached_property
     def labevents(self) -> DataFrame:
-        k = F.col("k")
+        """Three results per click, taken at the same second."""
         hadm = F.col("user_id") * 100000 + F.col("n_before") - F.when(F.col("prev_type") == "purchase", 1).otherwise(0)
-        return self.flow_events.where(F.col("event_type") == "click").select(
-            F.col("event_id").alias("labevent_id"),
+        taken = self.flow_events.where(F.col("event_type") == "click").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2))))
+        item = (F.col("k") + F.col("j")) % 100
+        value = F.col("value") + F.col("j") * 0.5
+        return taken.select(
+            (F.col("event_id") * 3 + F.col("j")).alias("labevent_id"),
             F.col("user_id").alias("subject_id"),
-            k.alias("itemid"),
+            item.alias("itemid"),
             F.when(F.col("prev_type").isNotNull(), hadm).alias("hadm_id"),
             F.date_trunc("second", "ts").cast("timestamp_ntz").alias("charttime"),
-            F.when(k >= 5, F.col("value")).alias("valuenum"),
-            F.when(k % 2 == 0, "mg").alias("valueuom"),
-            F.when(k <= 90, k * 0.25).alias("ref_range_lower"),
-            (k * 0.75 + 5).alias("ref_range_upper"),
-            F.when(F.col("value") > 40, "abnormal").alias("flag"),
+            F.when(item >= 5, value).alias("valuenum"),
+            F.when(item % 2 == 0, "mg").alias("valueuom"),
+            F.when(item <= 90, item * 0.25).alias("ref_range_lower"),
+            (item * 0.75 + 5).alias("ref_range_upper"),
+            F.when(value > 40, "abnormal").alias("flag"),
         )
 
     @cached_property
