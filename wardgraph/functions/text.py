@@ -77,18 +77,14 @@ def allergies(c: Column) -> Column:
 def vitals_map(c: Column) -> Column:
     """``"k: v, k: v"`` as a map; the last of equal keys wins, parts without ``:`` are dropped."""
     pairs = F.filter(split_list(F.coalesce(c, F.lit(""))), lambda p: F.contains(p, F.lit(":")))
-    keyed = F.transform(
-        pairs,
-        lambda p: F.struct(
-            F.translate(trimmed(F.split(p, ":", 2)[0]), " /", "__").alias("k"),
-            trimmed(F.split(p, ":", 2)[1]).alias("v"),
-        ),
-    )
-    keys = F.transform(keyed, lambda e: e["k"])
-    later = F.filter(
-        keyed, lambda e, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), e["k"]) == 0
-    )
-    return F.map_from_entries(later)
+    none = F.create_map().cast("map<string,string>")
+
+    def with_pair(known: Column, p: Column) -> Column:
+        halves = F.split(p, ":", 2)
+        key = F.translate(trimmed(halves[0]), " /", "__")
+        return F.map_concat(F.map_filter(known, lambda k, _: k != key), F.create_map(key, trimmed(halves[1])))
+
+    return F.aggregate(pairs, none, with_pair)
 
 
 def complaint_known(current: Column, new: Column) -> Column:

@@ -93,3 +93,38 @@ def keep_first(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
         .select("_row.*")
     )
     return firsts.unionByName(rows.where(F.col(key).isNull()))
+
+
+def antibiogram(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Organism, antibiotic and sensitivity rows of the groups that are sensitivity tables.
+
+    A group is one when it has more than three findings and its first three
+    (in order of text) all contain ``|``. The first three come from an
+    aggregate of bounded size, so no group is gathered whole.
+    """
+    from wardgraph.functions.text import parse_sensitivity
+
+    heads = (
+        findings.groupBy(*keys, "finding")
+        .agg(F.count(F.lit(1)).alias("_same"))
+        .groupBy(*keys)
+        .agg(
+            F.sum("_same").alias("_n"),
+            F.min("finding").alias("_first"),
+            # Findings without the mark that may be among the first three.
+            F.min_by("finding", F.when(~F.contains("finding", F.lit("|")), F.col("finding"))).alias("_plain"),
+        )
+    )
+    marked = findings.join(heads.where(F.col("_n") > 3), list(keys))
+    before_plain = marked.where(F.col("finding") < F.col("_plain")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_before"))
+    tables = heads.where(F.col("_n") > 3).join(before_plain, list(keys), "left").where(
+        F.col("_plain").isNull() | (F.coalesce("_before", F.lit(0)) >= 3)
+    )
+    parsed = parse_sensitivity(F.col("finding"))
+    rows = findings.join(tables.select(*keys, "_first"), list(keys)).withColumn("_p", parsed)
+    return rows.where(F.col("_p.antibiotic").isNotNull()).select(
+        *keys,
+        parse_sensitivity(F.col("_first"))["organism"].alias("organism"),
+        F.col("_p.antibiotic").alias("antibiotic"),
+        F.col("_p.sensitivity").alias("sensitivity"),
+    )

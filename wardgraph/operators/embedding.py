@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from wardgraph.functions import text as tx
 from wardgraph.functions.vectors import mean_vector
@@ -177,20 +178,26 @@ def patient_text(patients: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def break_text(text: str, size: int, overlap: int) -> list[str]:
-    """Chunks of at most ``size`` characters, ended at the last ``.`` or ``|`` there is."""
-    chunks, start = [], 0
-    while start + size < len(text):
-        cut = max(text.rfind(mark, start, start + size) for mark in ".|")
-        end = cut + 1 if cut > start else start + size
-        chunks.append(text[start:end])
-        start = max(end - overlap, start + 1)
-    return [*chunks, text[start:]]
+def character_chunker(size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Callable[[Column], Column]:
+    """Chunks of at most ``size`` characters, ended at the last ``.`` or ``|`` there is.
 
+    Where a chunk ends decides where the next begins, so this is a small loop
+    per text, run over Arrow batches.
+    """
+
+    def broken(text: str) -> list[str]:
+        chunks, start = [], 0
+        while start + size < len(text):
+            cut = max(text.rfind(mark, start, start + size) for mark in ".|")
+            end = cut + 1 if cut > start else start + size
+            chunks.append(text[start:end])
+            start = max(end - overlap, start + 1)
+        return [*chunks, text[start:]]
+
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else broken(t))
 
-@F.pandas_udf("array<string>")
-def chunk_by_characters(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else break_text(t, CHUNK_CHARS, OVERLAP_CHARS))
+    return F.pandas_udf(split, ArrayType(StringType()))
 
 
 def hashing_embedder(dim: int = 384) -> Callable[[Column], Column]:
@@ -200,7 +207,6 @@ def hashing_embedder(dim: int = 384) -> Callable[[Column], Column]:
     function from a text column to a vector column, such as a pandas UDF.
     """
 
-    @F.pandas_udf("array<float>")
     def encode(texts: pd.Series) -> pd.Series:
         slots: dict[str, int] = {}
 
@@ -215,7 +221,7 @@ def hashing_embedder(dim: int = 384) -> Callable[[Column], Column]:
 
         return texts.map(lambda t: None if t is None else vector(t))
 
-    return encode
+    return F.pandas_udf(encode, ArrayType(FloatType()))
 
 
 def embed(

@@ -44,3 +44,15 @@ def on_admission(facts: DataFrame, admissions: DataFrame) -> DataFrame:
     """Facts whose admission and patient both agree with a known admission."""
     known = admissions.select("hadm_id", "subject_id")
     return facts.where(F.col("hadm_id").isNotNull()).join(known, ["hadm_id", "subject_id"], "left_semi")
+
+
+def identified(rows: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Rows that have all the given identifiers."""
+    for c in ids:
+        rows = rows.where(F.col(c).isNotNull())
+    return rows
+
+
+def nonblank(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows whose ``column`` is more than white space, with it trimmed as ``name``."""
+    return rows.withColumn(name, F.trim(F.col(column))).where(F.col(name) != "")

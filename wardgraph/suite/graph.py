@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -504,7 +506,7 @@ def s14(v: Views) -> DataFrame:
     from wardgraph.sources import files
 
     def export():
-        path = f"{shared_dir(v.spark)}/nodes-json-{abs(hash(v.sf_dir))}"
+        path = f"{shared_dir(v.spark)}/nodes-json-{uuid.uuid4().hex}"
         shown = graph_nodes(v).withColumn("ts", format_ts(F.col("ts")))
         files.json_export(shown, path)
         schema = "label string, key string, subject_id bigint, name string, ts string, node_key string, props map<string,string>"
