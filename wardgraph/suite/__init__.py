@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["flow", "facts", "graph", "scalars", "tables", "vectors"]
+MODULES = ["flow", "facts", "graph", "scalars", "tables", "vectors", "notes"]
 
 
 def load() -> tuple[dict, dict]:
