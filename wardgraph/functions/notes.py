@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardgraph.functions import note_rules as R
-from wardgraph.functions.text import clean, squeeze, trimmed
+from wardgraph.functions.text import clean, let, squeeze, trimmed
 
-ANY = "[\\s\\S]"
+# Any text with line breaks: as little as will do, and all there is. The plain
+# dot is many times faster here than a class of all characters.
+SHORTEST = "(?s:.*?)"
+REST = "(?s:.*)"
 
 
 def _blank_to_null(c: Column) -> Column:
@@ -27,7 +30,7 @@ def redacted(c: Column) -> Column:
 
 def readable(c: Column) -> Column:
     """Cleaned text; null where it is redacted or nothing is left."""
-    return F.when(~redacted(c), _blank_to_null(clean(c)))
+    return let(c, lambda t: F.when(~redacted(t), _blank_to_null(clean(t))))
 
 
 def find(c: Column, pattern: str, flags: str = "(?i)", group: int = 1) -> Column:
@@ -46,7 +49,7 @@ def _heading_forms(start: str) -> list[str]:
 
 def from_heading(c: Column, start: str) -> Column:
     """The note from a heading on; null without it. The forms are tried in order."""
-    return F.coalesce(*[find(c, f"(?:{s}){ANY}*", "(?im)", 0) for s in _heading_forms(start)])
+    return F.coalesce(*[find(c, f"(?:{s}){REST}", "(?im)", 0) for s in _heading_forms(start)])
 
 
 def section_body(tail: Column, start: str, end: str) -> Column:
@@ -54,7 +57,7 @@ def section_body(tail: Column, start: str, end: str) -> Column:
     head = "|".join(_heading_forms(start))
 
     def upto(e: str) -> Column:
-        return F.regexp_extract(tail, f"(?im)\\A(?:{head})({ANY}*?)(?:{e}|\\z)", 1)
+        return F.regexp_extract(tail, f"(?im)\\A(?:{head})({SHORTEST})(?:{e}|\\z)", 1)
 
     bare = end.replace(":", "")
     body = upto(end) if bare == end else F.when(tail.rlike(f"(?i)(?:{end})"), upto(end)).otherwise(upto(bare))
@@ -129,8 +132,14 @@ def social_history(social: Column, family: Column) -> Column:
         ),
     )
     own = F.coalesce(own, F.array().cast("array<string>"))
-    moved = F.filter(_habits(family), lambda s: ~F.array_contains(own, s))
-    return _blank_to_null(F.array_join(F.concat(own, moved), " "))
+    return _blank_to_null(
+        let(
+            own,
+            lambda told: F.array_join(
+                F.concat(told, F.filter(_habits(family), lambda s: ~F.array_contains(told, s))), " "
+            ),
+        )
+    )
 
 
 def family_history(family: Column) -> Column:
@@ -167,8 +176,12 @@ def _oxygen(value: Column, text: Column) -> Column:
     return F.when(plain, F.concat(bare, F.lit("%RA"))).otherwise(trimmed(value))
 
 
-def vitals(text: Column) -> Column:
+def vitals(line: Column) -> Column:
     """Vital signs of a line: compact form, else VS form, else one by one."""
+    return let(line, _vitals)
+
+
+def _vitals(text: Column) -> Column:
     compact = text.rlike(R.COMPACT_VITALS)
     vs = text.rlike("(?i)" + R.VS_VITALS)
 
@@ -194,14 +207,21 @@ def vitals(text: Column) -> Column:
 
 
 def hpi_summary(hpi: Column) -> Column:
-    told = F.regexp_replace(hpi, f"(?i)(?:{R.ED_PART}){ANY}*\\z", "")
+    told = F.regexp_replace(hpi, f"(?i)(?:{R.ED_PART}){REST}\\z", "")
     told = clean(told)
     return _blank_to_null(F.regexp_replace(told, "(?i)\\s+In the ED[^.]*$", ""))
 
 
 def ed_labs(hpi: Column) -> Column:
     """Laboratory values of the emergency department as a map."""
-    labs = F.coalesce(find(hpi, f"(Labs\\s+(?:were\\s+)?(?:notable|significant)\\s+for{ANY}*)"), hpi)
+    return let(_ed_lab_text(hpi), _ed_labs)
+
+
+def _ed_lab_text(hpi: Column) -> Column:
+    return F.coalesce(find(hpi, f"(Labs\\s+(?:were\\s+)?(?:notable|significant)\\s+for{REST})"), hpi)
+
+
+def _ed_labs(labs: Column) -> Column:
     pairs = [F.struct(F.lit(k).alias("k"), find(labs, p).alias("v")) for k, p in R.ED_LABS.items()]
     none = F.when(labs.rlike("(?i)" + R.NO_LEUKOCYTOSIS.replace(" ", "\\s+")), F.lit(R.NO_LEUKOCYTOSIS))
     pairs.append(F.struct(F.lit("Leukocytosis").alias("k"), none.alias("v")))
@@ -209,7 +229,10 @@ def ed_labs(hpi: Column) -> Column:
 
 
 def ed_treatment(hpi: Column) -> Column:
-    told = find(hpi, R.ED_TREATMENT)
+    return let(find(hpi, R.ED_TREATMENT), _treatments)
+
+
+def _treatments(told: Column) -> Column:
     parts = [F.regexp_extract_all(told, F.lit(R.TREATMENT), F.lit(i)) for i in range(1, 6)]
     drugs = F.transform(
         F.arrays_zip(*[p.alias(f"g{i}") for i, p in enumerate(parts)]),
@@ -221,11 +244,11 @@ def ed_treatment(hpi: Column) -> Column:
 
 
 def hpi(c: Column) -> Column:
-    imaging = clean(first_of(c, R.ED_IMAGING))
+    imaging = let(clean(first_of(c, R.ED_IMAGING)), lambda i: F.when((i != "") & (F.length(i) < 200), i))
     findings = F.struct(
         clean(find(c, R.ED_GENERAL)).alias("General"),
         vitals(find(c, R.ED_VITALS)).alias("Vitals"),
-        F.when((imaging != "") & (F.length(imaging) < 200), imaging).alias("Imaging"),
+        imaging.alias("Imaging"),
         ed_treatment(c).alias("Initial Treatment"),
         F.lit(None).cast("string").alias("ICU/MICU Status"),
     )
@@ -238,9 +261,9 @@ _ALL_PARTS = "|".join(R.EXAM_PARTS.values())
 
 
 def _exam_part(c: Column, words: str, ends: str) -> Column:
-    pattern = f"(?im)^[ \\t]*(?:{words})[: \\t-]+({ANY}*?)(?=^[ \\t]*(?:{ends})[: \\t-]+|\\z)"
+    pattern = f"(?im)^[ \\t]*(?:{words})[: \\t-]+({SHORTEST})(?=^[ \\t]*(?:{ends})[: \\t-]+|\\z)"
     found = _filled_list(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), clean))
-    return F.try_element_at(found, F.lit(-1))
+    return F.element_at(F.concat(F.array(F.lit(None).cast("string")), found), -1)
 
 
 def exam(c: Column) -> Column:
@@ -257,7 +280,7 @@ def exam(c: Column) -> Column:
 def exam_texts(c: Column, admission: Column, discharge: Column) -> tuple[Column, Column]:
     """Text of both examinations; a combined one serves for both."""
     combined = F.coalesce(
-        trimmed(find(c, f"(?:{R.COMBINED_EXAM})({ANY}*?)(?:{R.COMBINED_EXAM_END}|\\z)")), F.lit("")
+        trimmed(find(c, f"(?:{R.COMBINED_EXAM})({SHORTEST})(?:{R.COMBINED_EXAM_END}|\\z)")), F.lit("")
     )
     both = c.rlike("(?i)" + R.COMBINED_EXAM.split("|")[0])
     first = F.when(both, combined).when(admission != "", admission).otherwise(combined)
@@ -269,15 +292,21 @@ def exam_texts(c: Column, admission: Column, discharge: Column) -> tuple[Column,
 
 def lab_values(c: Column) -> Column:
     """Laboratory values as a map from kept name to value; the first value of a name wins."""
+    return let(c, _lab_values)
+
+
+def _lab_values(c: Column) -> Column:
     names = F.regexp_extract_all(c, F.lit("(?i)" + R.LAB_LINE), F.lit(1))
     values = F.regexp_extract_all(c, F.lit("(?i)" + R.LAB_LINE), F.lit(2))
     known = F.create_map(*[F.lit(x) for kv in R.LAB_NAMES.items() for x in kv])
     listed = F.array(*[F.lit(k) for k in R.LAB_NAMES])
 
     def kept_name(n: Column) -> Column:
-        name = F.upper(squeeze(n))
-        inside = F.get(F.filter(listed, lambda k: F.contains(name, k)), F.lit(0))
-        return F.coalesce(F.try_element_at(known, name), F.try_element_at(known, inside), name)
+        def of(name: Column) -> Column:
+            inside = F.get(F.filter(listed, lambda k: F.contains(name, k)), F.lit(0))
+            return F.coalesce(F.try_element_at(known, name), F.try_element_at(known, inside), name)
+
+        return let(F.upper(squeeze(n)), of)
 
     found = F.transform(
         F.arrays_zip(names.alias("n"), values.alias("v")), lambda e: F.struct(kept_name(e["n"]).alias("n"), e["v"].alias("v"))
@@ -303,22 +332,24 @@ def microbiology(c: Column) -> Column:
 
 def imaging_studies(imaging: Column, results: Column) -> Column:
     """Imaging studies with their findings."""
-    text = F.when(imaging != "", imaging).otherwise(results)
+    return let(F.when(imaging != "", imaging).otherwise(results), _studies)
+
+
+def _study(kind: Column, findings: Column) -> Column:
+    row = lambda f: F.struct(
+        kind.alias("Study Type"), F.lit(None).cast("string").alias("Date"), f.alias("Findings")
+    )
+    return let(readable(findings), lambda f: F.when(f.isNotNull(), row(f)))
 
-    def study(kind: Column, findings: Column) -> Column:
-        usable = ~redacted(findings) & (clean(findings) != "")
-        return F.when(
-            usable,
-            F.struct(kind.alias("Study Type"), F.lit(None).cast("string").alias("Date"), clean(findings).alias("Findings")),
-        )
 
+def _studies(text: Column) -> Column:
     found = {k: find(text, p) for k, p in R.IMAGING_STUDIES.items()}
     for aside in R.ULTRASOUND_ASIDES:
         found["U/S"] = F.regexp_replace(found["U/S"], aside, "")
-    found["U/S"] = F.when(F.length(clean(found["U/S"])) > 10, found["U/S"])
+    found["U/S"] = let(clean(found["U/S"]), lambda f: F.when(F.length(f) > 10, f))
     ct = clean(find(text, "\\b" + R.CT_STUDY))
-    all_studies = [study(F.lit(k), v) for k, v in found.items()]
-    all_studies.append(study(squeeze(F.concat(F.lit("CT "), ct)), find(text, "\\b" + R.CT_STUDY, group=2)))
+    all_studies = [_study(F.lit(k), v) for k, v in found.items()]
+    all_studies.append(_study(squeeze(F.concat(F.lit("CT "), ct)), find(text, "\\b" + R.CT_STUDY, group=2)))
     return F.filter(F.array(*all_studies), lambda s: s.isNotNull())
 
 
@@ -326,7 +357,10 @@ def imaging_studies(imaging: Column, results: Column) -> Column:
 
 
 def hospital_course(c: Column) -> Column:
-    tail = find(c, f"Brief Hospital Course:({ANY}*)")
+    return let(find(c, f"Brief Hospital Course:({REST})"), _course)
+
+
+def _course(tail: Column) -> Column:
     ends = F.coalesce(*[F.nullif(F.instr(tail, e), F.lit(0)) for e in R.COURSE_ENDS], F.length(tail) + 1)
     body = trimmed(F.substring(tail, F.lit(1), ends - 1))
     body = F.regexp_replace(squeeze(body), R.NEXT_SECTION_TAIL, "")
@@ -340,7 +374,10 @@ def _bracketless(c: Column) -> Column:
 def transitional(trans: Column, course: Column, past: Column, discharge_meds: Column) -> Column:
     """Code status, follow-up laboratory work, pending tests and new medications."""
     rows = F.filter(F.transform(lines(trans), clean), lambda x: ~x.rlike("^(?:#\\s+|=+$)"))
-    bare = F.transform(rows, _bracketless)
+    return let(F.transform(rows, _bracketless), lambda bare: _transitional(bare, trans, course, past, discharge_meds))
+
+
+def _transitional(bare: Column, trans: Column, course: Column, past: Column, discharge_meds: Column) -> Column:
     pending = F.filter(
         bare, lambda x: F.lower(x).rlike("follow-up") & F.lower(x).rlike("culture|test") & (F.length(x) < 200)
     )
@@ -390,18 +427,21 @@ def admission_medications(c: Column) -> Column:
 def discharge_medications(c: Column) -> Column:
     """Numbered items, each with the text of its own ``RX *name*`` entry."""
     entries = F.transform(
-        F.regexp_extract_all(c, F.lit(f"(?i)RX\\s*\\*({ANY}*?)(?=\\n\\s*\\d+\\.\\s+|\\z)"), F.lit(1)),
+        F.regexp_extract_all(c, F.lit(f"(?i)RX\\s*\\*({SHORTEST})(?=\\n\\s*\\d+\\.\\s+|\\z)"), F.lit(1)),
         lambda e: F.concat(F.lit("RX *"), clean(e)),
     )
 
-    def with_entry(item: Column) -> Column:
-        word = F.regexp_extract(item, "^([A-Za-z-]+)", 1)
-        own = F.filter(entries, lambda e: F.startswith(F.lower(e), F.concat(F.lit("rx *"), F.lower(word))))
-        return F.when(word != "", F.concat_ws(" ", item, F.get(own, F.lit(0)))).otherwise(item)
+    def with_entries(rx: Column) -> Column:
+        def with_entry(item: Column) -> Column:
+            start = F.concat(F.lit("rx *"), F.lower(F.regexp_extract(item, "^([A-Za-z-]+)", 1)))
+            own = let(start, lambda w: F.filter(rx, lambda e: (w != "rx *") & F.startswith(F.lower(e), w)))
+            return F.concat_ws(" ", item, F.get(own, F.lit(0)))
 
-    outside = F.regexp_replace(c, f"(?i)RX\\s*\\*{ANY}*?(?=\\n\\s*\\d+\\.\\s+|\\z)", "")
+        return F.transform(items, with_entry)
+
+    outside = F.regexp_replace(c, f"(?i)RX\\s*\\*{SHORTEST}(?=\\n\\s*\\d+\\.\\s+|\\z)", "")
     items = F.filter(_numbered(outside), lambda x: ~x.rlike(R.TABLET_FRAGMENT))
-    return F.transform(items, with_entry)
+    return let(entries, with_entries)
 
 
 def _diagnosis_lines(c: Column, word: str, headers: list[str]) -> Column:
@@ -422,13 +462,16 @@ def discharge(
     told: Column, imaging: Column,
 ) -> Column:
     """How and with what the patient left; ``told`` is the text searched for secondary diagnoses."""
-    second = _diagnosis_lines(secondary, "Secondary", ["SECONDARY DIAGNOSES", "DIAGNOSES"])
     words = F.array(*[F.when(told.rlike("(?i)" + p), F.lit(k)) for k, p in R.SECONDARY_WORDS.items()])
-    second = F.when(F.size(second) > 0, second).otherwise(_filled_list(words))
-    stones = F.exists(imaging, lambda s: F.contains(s["Findings"], F.lit("Cholelithiasis")))
-    second = F.when(stones & ~F.array_contains(second, "Cholelithiasis"), F.array_append(second, F.lit("Cholelithiasis"))).otherwise(second)
+    listed = _diagnosis_lines(secondary, "Secondary", ["SECONDARY DIAGNOSES", "DIAGNOSES"])
+    named = let(listed, lambda d: F.when(F.size(d) > 0, d).otherwise(_filled_list(words)))
+    stones = F.lit("Cholelithiasis")
+    seen = F.exists(imaging, lambda s: F.contains(s["Findings"], stones))
+    second = let(
+        named, lambda d: F.when(seen & ~F.array_contains(d, stones), F.array_append(d, stones)).otherwise(d)
+    )
     said = _blank_to_null(clean(instructions))
-    later = F.coalesce(readable(followup), clean(first_of(said, R.FOLLOWUP_SENTENCE)))
+    later = F.coalesce(readable(followup), let(said, lambda t: clean(first_of(t, R.FOLLOWUP_SENTENCE))))
     return F.struct(
         _blank_to_null(clean(find(c, R.DISPOSITION))).alias("Disposition"),
         readable(find(c, R.FACILITY)).alias("Facility Name"),

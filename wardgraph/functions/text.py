@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,15 @@ shouldn't wasn wasn't weren weren't won won't wouldn wouldn't
 WORD = "[\\p{L}\\p{N}_]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it.
+
+    Inside conditions and lambdas Spark computes an expression again at each
+    place it stands.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(c: Column) -> Column:
     """Text without white space at its ends."""
     return F.regexp_replace(c, "^\\s+|\\s+$", "")
@@ -62,14 +73,19 @@ def split_list(c: Column, pattern: str = ",") -> Column:
 
 def distinct_ignoring_case(items: Column) -> Column:
     """The first spelling of each item, in order."""
-    lower = F.transform(items, F.lower)
-    return F.filter(items, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+    pairs = F.transform(items, lambda x: F.struct(F.lower(x).alias("n"), x.alias("x")))
+
+    def with_new(kept: Column, e: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: k["n"] == e["n"]), kept).otherwise(F.array_append(kept, e))
+
+    none = F.array().cast("array<struct<n:string,x:string>>")
+    return F.aggregate(pairs, none, with_new, lambda kept: F.transform(kept, lambda k: k["x"]))
 
 
 def allergies(c: Column) -> Column:
     """Allergy names: split on ``,``, ``;``, ``|`` and "and"; none-words dropped."""
-    names = distinct_ignoring_case(split_list(F.coalesce(c, F.lit("")), "[,;|]|\\sand\\s"))
-    known = F.filter(names, lambda x: ~F.lower(x).isin(NO_ALLERGY))
+    parts = split_list(F.coalesce(c, F.lit("")), "[,;|]|\\sand\\s")
+    known = distinct_ignoring_case(F.filter(parts, lambda x: ~F.lower(x).isin(NO_ALLERGY)))
     whole = F.lower(trimmed(c))
     return F.when(whole.isin(NO_ALLERGY), F.array().cast("array<string>")).otherwise(known)
 
@@ -89,10 +105,16 @@ def vitals_map(c: Column) -> Column:
 
 def complaint_known(current: Column, new: Column) -> Column:
     """True when the new complaint adds nothing to the current one."""
-    old, added = normalize(current), normalize(new)
-    parts = F.filter(F.transform(F.split(F.coalesce(current, F.lit("")), "[,;]"), normalize), lambda p: p != "")
-    overlaps = F.exists(parts, lambda p: F.contains(p, added) | F.contains(added, p))
-    return (added == "") | ((old != "") & (F.contains(old, added) | overlaps))
+
+    def adds_nothing(added: Column) -> Column:
+        old = normalize(current)
+        parts = F.transform(F.split(F.coalesce(current, F.lit("")), "[,;]"), normalize)
+        overlaps = F.exists(
+            parts, lambda p: (p != "") & (F.contains(p, added) | F.contains(added, p))
+        )
+        return (added == "") | ((old != "") & (F.contains(old, added) | overlaps))
+
+    return let(normalize(new), adds_nothing)
 
 
 def merge_complaint(current: Column, new: Column) -> Column:

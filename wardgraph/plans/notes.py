@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,55 +19,84 @@ def _ids(df: DataFrame) -> list[str]:
     return [c for c in ID_COLUMNS if c in df.columns]
 
 
-def read_notes(notes: DataFrame) -> DataFrame:
-    """Notes with one struct column per part of the document.
+PARTS = [
+    "Administrative Information",
+    "Clinical Summary",
+    "History of Present Illness",
+    "Physical Examination",
+    "Pertinent Results",
+    "Microbiology",
+    "Imaging Studies",
+    "Hospital Course",
+    "Transitional Issues",
+    "Medications",
+    "Discharge Information",
+]
+# Sections each part is read from.
+_NEEDS = {
+    "Administrative Information": ["allergies"],
+    "Clinical Summary": ["chief_complaint", "procedures", "past_history", "social_history", "family_history"],
+    "History of Present Illness": ["hpi"],
+    "Physical Examination": ["admission_exam", "discharge_exam"],
+    "Pertinent Results": ["results"],
+    "Microbiology": ["results"],
+    "Imaging Studies": ["results"],
+    "Hospital Course": [],
+    "Transitional Issues": ["transitional", "course", "past_history", "discharge_meds"],
+    "Medications": ["admission_meds", "discharge_meds"],
+    "Discharge Information": [
+        "primary_dx", "secondary_dx", "condition", "instructions", "followup", "course", "hpi", "past_history", "results",
+    ],
+}
+
+
+def read_notes(notes: DataFrame, parts: Sequence[str] = PARTS) -> DataFrame:
+    """Notes with one column per part of the document.
 
     The work is staged as columns: sections, then what needs them, then the
-    parts. Every stage stays within the row.
+    parts. Every stage stays within the row, so there is no shuffle.
     """
     ids = _ids(notes)
-    cut = N.with_sections(notes.select(*ids, "text"), "text", R.SECTIONS)
-    inner = N.with_sections(cut.withColumnRenamed("s_results", "results"), "results", R.RESULT_SECTIONS)
+    needed = {n: R.SECTIONS[n] for n in R.SECTIONS if any(n in _NEEDS[p] for p in parts)}
+    seen = N.with_sections(notes.select(*ids, "text"), "text", needed)
     c = F.col
-    first, second = N.exam_texts(c("text"), c("s_admission_exam"), c("s_discharge_exam"))
-    seen = inner.withColumns(
-        {
-            "exam_1": first,
-            "exam_2": second,
-            "studies": N.imaging_studies(c("s_imaging"), c("results")),
-            "told": F.concat_ws(" ", "s_course", "s_hpi", "s_past_history"),
-        }
-    )
-    labs = lambda col: F.when(c(col) != "", N.lab_values(c(col)))
-    return seen.select(
-        *ids,
-        N.head(c("text"), c("s_allergies")).alias("Administrative Information"),
-        N.summary(
-            c("s_chief_complaint"), c("s_procedures"), c("s_past_history"), c("s_social_history"), c("s_family_history")
-        ).alias("Clinical Summary"),
-        N.hpi(c("s_hpi")).alias("History of Present Illness"),
-        F.struct(N.exam(c("exam_1")).alias("Admission Exam"), N.exam(c("exam_2")).alias("Discharge Exam")).alias(
-            "Physical Examination"
+    if "results" in needed:
+        seen = N.with_sections(seen.withColumnRenamed("s_results", "results"), "results", R.RESULT_SECTIONS)
+        seen = seen.withColumn("studies", N.imaging_studies(c("s_imaging"), c("results")))
+    if "Physical Examination" in parts:
+        first, second = N.exam_texts(c("text"), c("s_admission_exam"), c("s_discharge_exam"))
+        seen = seen.withColumns({"exam_1": first, "exam_2": second})
+    if "Discharge Information" in parts:
+        seen = seen.withColumn("told", F.concat_ws(" ", "s_course", "s_hpi", "s_past_history"))
+
+    def labs(section: str):
+        return F.when(c(section) != "", N.lab_values(c(section)))
+
+    makers = {
+        "Administrative Information": lambda: N.head(c("text"), c("s_allergies")),
+        "Clinical Summary": lambda: N.summary(*[c(f"s_{n}") for n in _NEEDS["Clinical Summary"]]),
+        "History of Present Illness": lambda: N.hpi(c("s_hpi")),
+        "Physical Examination": lambda: F.struct(
+            N.exam(c("exam_1")).alias("Admission Exam"), N.exam(c("exam_2")).alias("Discharge Exam")
         ),
-        F.struct(
+        "Pertinent Results": lambda: F.struct(
             F.coalesce(labs("s_admission_labs"), N.lab_values(c("results"))).alias("Admission Labs"),
             labs("s_discharge_labs").alias("Discharge Labs"),
-        ).alias("Pertinent Results"),
-        F.struct(N.microbiology(c("s_microbiology")).alias("description")).alias("Microbiology"),
-        c("studies").alias("Imaging Studies"),
-        F.struct(N.hospital_course(c("text")).alias("description")).alias("Hospital Course"),
-        N.transitional(c("s_transitional"), c("s_course"), c("s_past_history"), c("s_discharge_meds")).alias(
-            "Transitional Issues"
         ),
-        F.struct(
+        "Microbiology": lambda: F.struct(N.microbiology(c("s_microbiology")).alias("description")),
+        "Imaging Studies": lambda: c("studies"),
+        "Hospital Course": lambda: F.struct(N.hospital_course(c("text")).alias("description")),
+        "Transitional Issues": lambda: N.transitional(*[c(f"s_{n}") for n in _NEEDS["Transitional Issues"]]),
+        "Medications": lambda: F.struct(
             N.admission_medications(c("s_admission_meds")).alias("On Admission"),
             N.discharge_medications(c("s_discharge_meds")).alias("On Discharge"),
-        ).alias("Medications"),
-        N.discharge(
-            c("text"), c("s_primary_dx"), c("s_secondary_dx"), c("s_condition"), c("s_instructions"), c("s_followup"),
+        ),
+        "Discharge Information": lambda: N.discharge(
+            c("text"), *[c(f"s_{n}") for n in ("primary_dx", "secondary_dx", "condition", "instructions", "followup")],
             c("told"), c("studies"),
-        ).alias("Discharge Information"),
-    )
+        ),
+    }
+    return seen.select(*ids, *[makers[p]().alias(p) for p in PARTS if p in parts])
 
 
 def documents(parts: DataFrame) -> DataFrame:

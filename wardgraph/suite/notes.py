@@ -7,12 +7,15 @@ the columns, without reading the text.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardgraph.functions import notes as N
 from wardgraph.functions.text import clean
 from wardgraph.plans import notes as job
+from wardgraph.session import shared_dir
 from wardgraph.suite.registry import query
 from wardgraph.suite.sql_views import VIEWS
 from wardgraph.suite.views import Views
@@ -91,7 +94,8 @@ OF_ORDER = f"'N' || {_n(K)} AS note_id"
 
 def notes(v: Views) -> DataFrame:
     def build():
-        return v.table("orders").select(
+        # The text is made after the rows are spread, so many tasks read the notes later.
+        return v.table("orders").repartition(v.spark.sparkContext.defaultParallelism, "o_orderkey").select(
             F.expr(f"'N' || {_n(K)}").alias("note_id"),
             F.col("o_custkey").alias("subject_id"),
             F.col("o_orderkey").alias("hadm_id"),
@@ -101,8 +105,8 @@ def notes(v: Views) -> DataFrame:
     return v.once("notes", build)
 
 
-def read(v: Views) -> DataFrame:
-    return job.read_notes(notes(v))
+def read(v: Views, *parts: str) -> DataFrame:
+    return job.read_notes(notes(v), parts)
 
 
 def _s(struct: str, *path: str):
@@ -155,7 +159,7 @@ def n2(v: Views) -> DataFrame:
 )
 def n3(v: Views) -> DataFrame:
     a = "Administrative Information"
-    return read(v).select(
+    return read(v, "Administrative Information").select(
         "note_id", _s(a, "Name").alias("name"), _s(a, "Sex").alias("sex"), _s(a, "Service").alias("service"),
         _s(a, "Attending").alias("attending"), _joined(_s(a, "Allergies")).alias("allergies"),
     )
@@ -173,7 +177,7 @@ PROCEDURE = CASE_F.format("NULL", "'Paracentesis'", "'Paracentesis, Upper endosc
 )
 def n4(v: Views) -> DataFrame:
     a = "Clinical Summary"
-    return read(v).select(
+    return read(v, "Clinical Summary").select(
         "note_id", _s(a, "Chief Complaint").alias("complaint"), _s(a, "Major Surgical or Invasive Procedure").alias("procedures"),
         _joined(_s(a, "Past Medical History")).alias("past"), _s(a, "Social History").alias("social"), _s(a, "Family History").alias("family"),
     )
@@ -194,7 +198,7 @@ def _vitals(*path: str):
 )
 def n5(v: Views) -> DataFrame:
     exam = "Physical Examination"
-    return read(v).select(
+    return read(v, "History of Present Illness", "Physical Examination").select(
         "note_id", _vitals("History of Present Illness", "ED Findings", "Vitals").alias("compact"),
         _vitals(exam, "Admission Exam", "Vitals").alias("vs"), _vitals(exam, "Discharge Exam", "Vitals").alias("single"),
     )
@@ -208,7 +212,7 @@ def n5(v: Views) -> DataFrame:
 def n6(v: Views) -> DataFrame:
     a = "History of Present Illness"
     labs = F.array_sort(F.map_entries(_s(a, "ED Labs")))
-    return read(v).select(
+    return read(v, "History of Present Illness").select(
         "note_id", _s(a, "Summary").alias("summary"),
         F.array_join(F.transform(labs, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("labs"),
         _s(a, "ED Findings", "Imaging").alias("imaging"), _joined(_s(a, "ED Findings", "Initial Treatment")).alias("treatment"),
@@ -228,7 +232,7 @@ def n7(v: Views) -> DataFrame:
         c = _s("Physical Examination", which)
         return F.concat_ws("|", *[F.coalesce(c[f], F.lit("-")) for f in EXAM])
 
-    return read(v).select("note_id", parts("Admission Exam").alias("admission"), parts("Discharge Exam").alias("discharge"))
+    return read(v, "Physical Examination").select("note_id", parts("Admission Exam").alias("admission"), parts("Discharge Exam").alias("discharge"))
 
 
 def _map_text(m):
@@ -244,7 +248,7 @@ ADMISSION_LABS = f"'CREAT=' || {CREAT} || ';HGB=' || {HGB} || '*;SODIUM=' || {NA
     f"""SELECT {OF_ORDER}, {ADMISSION_LABS} AS labs FROM orders""",
 )
 def n8(v: Views) -> DataFrame:
-    return read(v).select("note_id", _map_text(_s("Pertinent Results", "Admission Labs")).alias("labs"))
+    return read(v, "Pertinent Results").select("note_id", _map_text(_s("Pertinent Results", "Admission Labs")).alias("labs"))
 
 
 @query(
@@ -255,7 +259,7 @@ def n8(v: Views) -> DataFrame:
 )
 def n9(v: Views) -> DataFrame:
     studies = F.transform(F.col("`Imaging Studies`"), lambda s: F.concat_ws(": ", s["Study Type"], s["Findings"]))
-    return read(v).select(
+    return read(v, "Pertinent Results", "Microbiology", "Imaging Studies").select(
         "note_id", _map_text(_s("Pertinent Results", "Discharge Labs")).alias("discharge_labs"),
         _s("Microbiology", "description").alias("micro"), _joined(studies).alias("imaging"),
     )
@@ -268,7 +272,7 @@ COURSE = f"""'Stable on day ' || {_n(K + ' % 10')} || '. To schedule outpatient
 
 @query("n10_hospital_course", f"SELECT {OF_ORDER}, {COURSE} AS course FROM orders")
 def n10(v: Views) -> DataFrame:
-    return read(v).select("note_id", _s("Hospital Course", "description").alias("course"))
+    return read(v, "Hospital Course").select("note_id", _s("Hospital Course", "description").alias("course"))
 
 
 @query(
@@ -279,7 +283,7 @@ def n10(v: Views) -> DataFrame:
 )
 def n11(v: Views) -> DataFrame:
     a = "Transitional Issues"
-    return read(v).select(
+    return read(v, "Transitional Issues").select(
         "note_id", _s(a, "Code Status").alias("code_status"), _joined(_s(a, "Pending Tests")).alias("pending"),
         _joined(_s(a, "Medication Changes", "Start")).alias("started"),
     )
@@ -293,7 +297,7 @@ DIS_MEDS = f"""'Furosemide ' || {DOSE} || ' mg PO DAILY RX *furosemide ' || {DOS
 @query("n12_medications", f"SELECT {OF_ORDER}, {ADM_MEDS} AS admission, {DIS_MEDS} AS discharge FROM orders")
 def n12(v: Views) -> DataFrame:
     a = "Medications"
-    return read(v).select("note_id", _joined(_s(a, "On Admission")).alias("admission"), _joined(_s(a, "On Discharge")).alias("discharge"))
+    return read(v, "Medications").select("note_id", _joined(_s(a, "On Admission")).alias("admission"), _joined(_s(a, "On Discharge")).alias("discharge"))
 
 
 SECOND = CASE_F.format("'HCV Cirrhosis; COPD; Cholelithiasis'", "'Gout; Asthma; Cholelithiasis'", "'PTSD; Cholelithiasis'")
@@ -309,7 +313,7 @@ TOLD = f"'Dear Ms. , Rest well. You will follow up with clinic ' || {_n(K + ' %
 )
 def n13(v: Views) -> DataFrame:
     a = "Discharge Information"
-    return read(v).select(
+    return read(v, "Discharge Information").select(
         "note_id", _s(a, "Disposition").alias("disposition"), _s(a, "Facility Name").alias("facility"),
         _joined(_s(a, "Primary Diagnoses")).alias("primary_dx"), _joined(_s(a, "Secondary Diagnoses")).alias("secondary_dx"),
         _s(a, "Condition", "Level of Consciousness").alias("consciousness"), _s(a, "Discharge Instructions").alias("instructions"),
@@ -324,9 +328,6 @@ def json_notes(v: Views) -> DataFrame:
     """Two runs of the note job: the second takes only what the first left."""
 
     def run():
-        from wardgraph.session import shared_dir
-        import uuid
-
         path = f"{shared_dir(v.spark)}/note-documents-{uuid.uuid4().hex}"
         whole = notes(v)
         first = whole.where(F.col("text").contains("CHIEF COMPLAINT:"))
@@ -365,9 +366,6 @@ def n15(v: Views) -> DataFrame:
 
 def flat_notes(v: Views) -> DataFrame:
     def run():
-        from wardgraph.session import shared_dir
-        import uuid
-
         return job.flatten_job(json_notes(v), None, f"{shared_dir(v.spark)}/note-flat-{uuid.uuid4().hex}")
 
     return v.once("flat_notes", run)
