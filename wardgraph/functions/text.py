@@ -133,10 +133,23 @@ def remove_stop_words(c: Column, separators: str = "|:") -> Column:
     A stop word with an apostrophe is two words to the splitter, so only its
     parts can match.
     """
-    words = "|".join(w for w in STOP_WORDS if "'" not in w)
-    bare = F.regexp_replace(c, f"(?i)(?<!{WORD})(?:{words})(?!{WORD})", "")
-    spaced = F.regexp_replace(F.regexp_replace(bare, "\\s+", " "), f"\\s*([{separators}])\\s*", " $1 ")
-    return squeeze(spaced)
+    return squeeze(_without_stop_words(c, separators))
+
+
+def kept_words(c: Column, separators: str = "|:") -> Column:
+    """The words of ``remove_stop_words`` as a list.
+
+    A text may be cut into pieces that end in white space: the lists of the
+    pieces, one after the other, are the list of the text.
+    """
+    return F.filter(F.split(_without_stop_words(c, separators), "\\s+"), lambda w: w != "")
+
+
+def _without_stop_words(c: Column, separators: str) -> Column:
+    stop = [w for w in STOP_WORDS if "'" not in w]
+    pieces = F.regexp_extract_all(c, F.lit(f"{WORD}+|[^{WORD[1:]}+"), F.lit(0))
+    bare = F.array_join(F.filter(pieces, lambda w: ~F.lower(w).isin(stop)), "")
+    return F.regexp_replace(F.regexp_replace(bare, "\\s+", " "), f"\\s*([{separators}])\\s*", " $1 ")
 
 
 def join_diagnoses(items: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from wardgraph.functions import text as tx
 from wardgraph.functions.vectors import mean_vector
+from wardgraph.operators import ordered
 
 # Categories of a patient's text, in order, with their headings.
 CATEGORIES = [
@@ -143,23 +144,15 @@ def _heading() -> Column:
     return out
 
 
-def patient_text(patients: DataFrame, items: DataFrame) -> DataFrame:
-    """One text per patient: number, demographics, then the categories in order.
-
-    All categories go through the same two groupings, whatever their number.
-    """
-    listed = items.groupBy("subject_id", "rank").agg(F.array_sort(F.collect_list("item")).alias("list"))
-    sections = listed.select(
-        "subject_id", F.struct("rank", F.concat(_heading(), F.array_join("list", "; ")).alias("text")).alias("s")
-    )
-    whole = sections.groupBy("subject_id").agg(F.array_sort(F.collect_list("s")).alias("parts"))
+def _about(patients: DataFrame) -> Column:
+    """Number and demographics, the first two sections of a patient's text."""
 
     def attribute(heading: str, c: str) -> Column:
         known = F.col(c).cast("string") if c in patients.columns else F.lit(None).cast("string")
         shown = F.nullif(F.nullif(known, F.lit("")), F.lit("0"))
         return F.concat(F.lit(heading + ": "), shown)
 
-    about = F.concat_ws(
+    told = F.concat_ws(
         ", ",
         attribute("Gender", "gender"),
         attribute("Age", "anchor_age"),
@@ -167,14 +160,71 @@ def patient_text(patients: DataFrame, items: DataFrame) -> DataFrame:
         attribute("Date of Death", "dod"),
         attribute("Total Admissions", "total_number_of_admissions"),
     )
-    full = F.concat_ws(
+    return F.concat_ws(
         " | ",
         F.concat(F.lit("Patient ID: "), F.col("subject_id").cast("string")),
-        F.concat(F.lit("Patient: "), F.nullif(about, F.lit(""))),
-        F.array_join(F.transform("parts", lambda p: p["text"]), " | "),
+        F.concat(F.lit("Patient: "), F.nullif(told, F.lit(""))),
+    )
+
+
+def patient_text(patients: DataFrame, items: DataFrame) -> DataFrame:
+    """One text per patient: number, demographics, then the categories in order.
+
+    All categories go through the same two groupings, whatever their number.
+    The text is one row by its nature; ``patient_chunks`` leads to vectors
+    without it.
+    """
+    listed = items.groupBy("subject_id", "rank").agg(F.array_sort(F.collect_list("item")).alias("list"))
+    sections = listed.select(
+        "subject_id", F.struct("rank", F.concat(_heading(), F.array_join("list", "; ")).alias("text")).alias("s")
     )
-    return patients.join(whole, "subject_id", "left").select(
-        "subject_id", tx.remove_stop_words(full).alias("text")
+    whole = sections.groupBy("subject_id").agg(F.array_sort(F.collect_list("s")).alias("parts"))
+    full = F.concat_ws(" | ", _about(patients), F.array_join(F.transform("parts", lambda p: p["text"]), " | "))
+    return patients.join(whole, "subject_id", "left").select("subject_id", tx.remove_stop_words(full).alias("text"))
+
+
+def patient_chunks(patients: DataFrame, items: DataFrame) -> DataFrame:
+    """(subject_id, chunk_no, chunk): the chunks of ``patient_text``, put together from the items.
+
+    No text is ever whole: each item knows how many words come before it, goes
+    to the one or two chunks it falls into, and a chunk gathers at most
+    ``CHUNK_WORDS`` words. A patient with very many items is many small groups.
+    """
+    about = patients.select("subject_id", F.lit(-1).alias("rank"), F.lit("").alias("item"), _about(patients).alias("body"))
+    rows = about.unionByName(items.select("subject_id", "rank", "item", F.col("item").alias("body")))
+    # Slices that never fall along (rank, item); a rank of -1 sorts first as text too.
+    slice_by = F.concat(F.lpad(F.col("rank").cast("string"), 3, "0"), F.substring("item", 1, 12))
+
+    def along(df: DataFrame, *specs) -> DataFrame:
+        return ordered.along(df, ["subject_id"], ["rank", "item"], *specs, slice_by=slice_by)
+
+    placed = along(
+        rows, ordered.previous("before", F.col("rank")), ordered.next_known("after", F.col("rank"))
+    )
+    # A piece ends with the mark that parts it from the next, and so in white space.
+    opens = F.col("before").isNull() | (F.col("before") != F.col("rank"))
+    mark = F.when(F.col("after") == F.col("rank"), "; ").when(F.col("after").isNotNull(), " | ").otherwise("")
+    piece = F.concat(F.when(opens, F.coalesce(_heading(), F.lit(""))).otherwise(""), F.col("body"), mark)
+    worded = placed.select("subject_id", "rank", "item", tx.kept_words(piece).alias("words"))
+    worded = worded.withColumn("n", F.size("words").cast("bigint")).where(F.col("n") > 0)
+    counted = along(worded, ordered.total_before("start", F.col("n")))
+    totals = worded.groupBy("subject_id").agg(F.sum("n").alias("total"))
+
+    step = CHUNK_WORDS - OVERLAP_WORDS
+    start, n = F.col("start"), F.col("n")
+    last = F.greatest(F.lit(0), F.ceil((F.col("total") - CHUNK_WORDS) / F.lit(step)))
+    first_chunk = F.greatest(F.lit(0), F.floor((start - CHUNK_WORDS) / F.lit(step)) + 1)
+    last_chunk = F.least(last, F.floor((start + n - 1) / F.lit(step)))
+    spread = counted.join(totals, "subject_id").where(first_chunk <= last_chunk).select(
+        "subject_id", "start", "n", "words", F.explode(F.sequence(first_chunk, last_chunk)).alias("chunk_no")
+    )
+    begin = F.col("chunk_no") * step
+    skip = F.greatest(F.lit(0), begin - start)
+    upto = F.least(n, begin + CHUNK_WORDS - start)
+    part = F.slice("words", (skip + 1).cast("int"), (upto - skip).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("start", part.alias("w"))))
+    return spread.groupBy("subject_id", "chunk_no").agg(
+        F.array_join(F.flatten(F.transform(parts, lambda p: p["w"])), " ").alias("chunk")
     )
 
 
@@ -224,22 +274,29 @@ def hashing_embedder(dim: int = 384) -> Callable[[Column], Column]:
     return F.pandas_udf(encode, ArrayType(FloatType()))
 
 
+def embed_chunks(chunks: DataFrame, key: str, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, vector, chunks): the mean of the vectors of the chunks of each key.
+
+    ``chunks`` has one row per chunk with ``chunk_no`` and ``chunk``; they are
+    encoded where they lie, and means are combined before the shuffle.
+    """
+    encode = embedder or hashing_embedder()
+    encoded = chunks.select(key, encode(F.col("chunk")).alias("v"))
+    return encoded.groupBy(key).agg(
+        mean_vector(F.col("v")).cast("array<float>").alias("vector"), F.count(F.lit(1)).alias("chunks")
+    )
+
+
 def embed(
     texts: DataFrame, key: str, text: str, embedder: Callable[[Column], Column] | None = None
 ) -> DataFrame:
-    """(key, vector, chunks): the mean of the vectors of a text's chunks.
+    """Vectors of texts that are rows already, cut into chunks of words.
 
-    Texts without words have no vector and are left out. Chunks are rows of
-    their own while they are encoded, so one very long text is spread over
-    tasks after the repartition.
+    Texts without words have no vector and are left out. The chunks are spread
+    over tasks before they are encoded, so one very long text is not one task.
     """
-    encode = embedder or hashing_embedder()
     worded = texts.where(F.trim(F.col(text)) != "")
     chunks = worded.select(
         key, F.posexplode(tx.chunk_by_words(F.col(text), CHUNK_WORDS, OVERLAP_WORDS)).alias("chunk_no", "chunk")
     )
-    spread = chunks.repartition(key, "chunk_no")
-    encoded = spread.select(key, encode(F.col("chunk")).alias("v"))
-    return encoded.groupBy(key).agg(
-        mean_vector(F.col("v")).cast("array<float>").alias("vector"), F.count(F.lit(1)).alias("chunks")
-    )
+    return embed_chunks(chunks.repartition(key, "chunk_no"), key, embedder)

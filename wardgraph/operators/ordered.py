@@ -65,15 +65,18 @@ def along(
     order: Sequence[str],
     *specs: Spec,
     grain: str = "day",
+    slice_by: Column | None = None,
 ) -> DataFrame:
     """Add one column per spec, looking along ``order`` inside each key.
 
     ``order[0]`` is the time column, the others make the order total. Rows
     without a time sort last. Key columns must not be null. ``grain`` is the
-    width of a slice; choose a finer one for denser keys.
+    width of a slice; choose a finer one for denser keys. Rows that are not
+    ordered by time give ``slice_by``, any value that never falls along the
+    order.
     """
     keys = list(keys)
-    sliced = with_slice(df, order[0], grain)
+    sliced = with_slice(df, order[0], grain) if slice_by is None else df.withColumn(SLICE, slice_by)
     for spec in specs:
         if spec.value is not None:
             sliced = sliced.withColumn(f"_v_{spec.name}", spec.value)

@@ -7,10 +7,10 @@ patient's graph never touches another's.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardgraph.functions import clinical, text
@@ -18,6 +18,7 @@ from wardgraph.functions.numbers import out_of_range
 from wardgraph.functions.times import format_ts, period_string
 from wardgraph.operators import bundles, diagnoses, flow, graph, intervals, lookups, nodes
 from wardgraph.session import written
+from wardgraph.sources import files
 
 EDGE_COLUMNS = [*graph.EDGE_KEY, "subject_id", "props"]
 
@@ -28,6 +29,7 @@ class Graph:
 
     frames: dict[str, DataFrame] = field(default_factory=dict)
     edge_frames: list[DataFrame] = field(default_factory=list)
+    save: Callable[[DataFrame, str], DataFrame] = written
 
     def nodes(self) -> DataFrame:
         """All nodes in one table; see ``operators.nodes.unify``."""
@@ -77,9 +79,10 @@ def _time(c: str) -> Column:
 def build(tables: Mapping[str, DataFrame], save: Callable[[DataFrame, str], DataFrame] = written) -> Graph:
     """The graph of the given hospital tables.
 
-    ``save`` stores the merged stays, on which most of the graph is built.
+    ``save`` stores what several frames are made of (merged stays, bundles,
+    joined notes), so that no join of a fact table runs twice.
     """
-    g = Graph()
+    g = Graph(save=save)
     stays = _patients_and_flow(g, tables, save)
     if stays is not None:
         _bundles(g, tables, stays)
@@ -166,6 +169,20 @@ def _emergency_visits(transfers: DataFrame, edstays: DataFrame) -> DataFrame:
     )
 
 
+def save_graph(g: Graph, path: str) -> None:
+    """Write the graph: one table per label, and the edges in one folder per relation."""
+    for label, frame in g.frames.items():
+        files.replace(frame, f"{path}/nodes/{label}")
+    g.edges().repartition("rel", "src_key").write.mode("overwrite").partitionBy("rel").parquet(f"{path}/edges")
+
+
+def load_graph(spark: SparkSession, path: str, labels: Iterable[str]) -> Graph:
+    """The graph as written by ``save_graph``."""
+    g = Graph({label: spark.read.parquet(f"{path}/nodes/{label}") for label in labels})
+    g.edge_frames.append(spark.read.parquet(f"{path}/edges").select(*EDGE_COLUMNS))
+    return g
+
+
 def stay_windows(g: Graph) -> DataFrame:
     """Whatever has a start and an end, of any label."""
     out = None
@@ -180,8 +197,8 @@ def stay_windows(g: Graph) -> DataFrame:
 
 def _add_bundles(g: Graph, made: DataFrame, rel: str, batch: str, contained: str, label: str, key: Column) -> None:
     """Bundles with their batch: stay → batch → bundle."""
-    keyed = made.withColumn("key", key)
-    owners = made.select("event_id", "label", "subject_id").distinct().withColumn("key", F.col("event_id"))
+    keyed = g.save(made.withColumn("key", key), label)
+    owners = keyed.select("event_id", "label", "subject_id").distinct().withColumn("key", F.col("event_id"))
     g.add(batch, owners.select("key", "event_id", "subject_id", F.lit(batch).alias("name")).distinct())
     g.link(owners, F.col("label"), F.col("event_id"), rel, batch, F.col("key"))
     g.add(label, keyed.drop("label").withColumn("name", F.lit(label)))

@@ -42,6 +42,7 @@ def add_note_facts(g, t: Mapping[str, DataFrame], stays: DataFrame | None) -> No
         notes = notes.join(ends, ["subject_id", "hadm_id"], "left")
     else:
         notes = notes.withColumn("_discharge", F.lit(None).cast("string"))
+    notes = g.save(notes, "notes")
     per_admission = notes.withColumn("key", F.col("hadm_id").cast("string"))
     owner_key: dict[str, Column] = {
         "HospitalAdmission": F.col("hadm_id"),

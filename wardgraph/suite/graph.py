@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardgraph.functions.times import format_ts
 from wardgraph.operators import graph, journey, nodes, ordered, quality
-from wardgraph.plans.build import build
+from wardgraph.plans.build import Graph, build
 from wardgraph.suite.flow import FIRST_SQL
 from wardgraph.suite.registry import query
 from wardgraph.suite.sql_views import VIEWS, gap, period, ts
@@ -35,7 +35,18 @@ def drgcodes(v: Views) -> DataFrame:
     )
 
 
-def built(v: Views):
+_graphs: dict[tuple[str, str], Graph] = {}
+
+
+def built(v: Views) -> Graph:
+    """The graph of the tables, built once in a session."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir)
+    if key not in _graphs:
+        _graphs[key] = _build(v)
+    return _graphs[key]
+
+
+def _build(v: Views) -> Graph:
     return build(
         {
             "patients": v.patients,

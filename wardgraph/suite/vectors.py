@@ -250,14 +250,31 @@ def patient_texts(v: Views) -> DataFrame:
     return embedding.patient_text(v.patients.join(counts, "subject_id", "left"), text_items(v))
 
 
+def patient_chunks(v: Views) -> DataFrame:
+    counts = v.flow_admissions.groupBy("subject_id").agg(F.count(F.lit(1)).alias("total_number_of_admissions"))
+    made = embedding.patient_chunks(v.patients.join(counts, "subject_id", "left"), text_items(v))
+    return v.once("patient_chunks", lambda: made)
+
+
+@query(
+    "p18_patient_chunks",
+    f"""WITH {hashed('patient_texts', 'subject_id').split('tokens AS')[0].rstrip().rstrip(',')}
+        SELECT subject_id, CAST(n AS BIGINT) AS chunk_no, array_to_string(words[n * {embedding.CHUNK_WORDS - embedding.OVERLAP_WORDS} + 1
+               : n * {embedding.CHUNK_WORDS - embedding.OVERLAP_WORDS} + {embedding.CHUNK_WORDS}], ' ') AS chunk FROM starts""",
+)
+def p18_patients(v: Views) -> DataFrame:
+    """Chunks of patient texts that were never whole, equal to those of the whole text."""
+    return patient_chunks(v)
+
+
 @query(
     "v1_patient_embedding",
     f"""WITH {hashed('patient_texts', 'subject_id', 384)}
         SELECT subject_id, chunks, i AS place, round(CAST(x AS DOUBLE), 5) AS x FROM vectored""",
 )
 def v1(v: Views) -> DataFrame:
-    """Patient facts to text to chunks to vectors to one vector per patient."""
-    return _places(embedding.embed(patient_texts(v), "subject_id", "text", embedding.hashing_embedder()), "subject_id")
+    """Patient facts to chunks to vectors to one vector per patient."""
+    return _places(embedding.embed_chunks(patient_chunks(v), "subject_id", embedding.hashing_embedder()), "subject_id")
 
 
 # --- comparison and summary ---------------------------------------------------------------
