@@ -18,7 +18,6 @@ from wardgraph.functions.numbers import out_of_range
 from wardgraph.functions.times import format_ts, period_string
 from wardgraph.operators import bundles, diagnoses, flow, graph, intervals, lookups, nodes
 from wardgraph.session import written
-from wardgraph.sources import files
 
 EDGE_COLUMNS = [*graph.EDGE_KEY, "subject_id", "props"]
 
@@ -169,11 +168,14 @@ def _emergency_visits(transfers: DataFrame, edstays: DataFrame) -> DataFrame:
     )
 
 
-def save_graph(g: Graph, path: str) -> None:
-    """Write the graph: one table per label, and the edges in one folder per relation."""
+def save_graph(g: Graph, path: str, mode: str = "overwrite") -> None:
+    """Write the graph: one table per label, and the edges in one folder per relation.
+
+    ``append`` adds the graphs of further patients.
+    """
     for label, frame in g.frames.items():
-        files.replace(frame, f"{path}/nodes/{label}")
-    g.edges().repartition("rel", "src_key").write.mode("overwrite").partitionBy("rel").parquet(f"{path}/edges")
+        frame.write.mode(mode).parquet(f"{path}/nodes/{label}")
+    g.edges().write.mode(mode).partitionBy("rel").parquet(f"{path}/edges")
 
 
 def load_graph(spark: SparkSession, path: str, labels: Iterable[str]) -> Graph:

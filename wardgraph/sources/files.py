@@ -19,15 +19,15 @@ def csv_scan(
     """A CSV table with header. Columns are matched by name, so a file may have
     more columns, or the same in another order, than the schema names.
 
-    Without a schema every column is text. Text that does not fit the type of
-    its column becomes null.
+    Without a schema every column is text. Empty fields, quoted or not, and
+    text that does not fit the type of its column become null.
     """
     df = spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path)
     if schema is not None:
         declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
         df = df.select(
             *[
-                F.col(f.name).try_cast(f.dataType).alias(f.name)
+                F.nullif(F.col(f.name), F.lit("")).try_cast(f.dataType).alias(f.name)
                 if f.name in df.columns
                 else F.lit(None).cast(f.dataType).alias(f.name)
                 for f in declared.fields
@@ -68,7 +68,8 @@ def replace(df: DataFrame, path: str) -> None:
 
 def csv_sink(df: DataFrame, path: str, mode: str = "append") -> None:
     """CSV files, each with its own header."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(header=True, escape='"', **kept).csv(path)
 
 
 def json_lines(df: DataFrame, *keys: str) -> DataFrame:
