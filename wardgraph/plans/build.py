@@ -128,7 +128,7 @@ def _patients_and_flow(g: Graph, t: Mapping[str, DataFrame], save) -> DataFrame
     edstays = t.get("edstays")
     if edstays is None:
         edstays = t["transfers"].where(F.lit(False)).withColumn("stay_id", F.col("transfer_id"))
-    visits = _emergency_visits(transfers, edstays)
+    visits = save(_emergency_visits(transfers, edstays), "visits")
     g.add("EmergencyDepartment", visits)
     g.link(visits, "Patient", F.col("subject_id"), "VISITED_ED", "EmergencyDepartment", F.col("key"))
 
@@ -137,7 +137,7 @@ def _patients_and_flow(g: Graph, t: Mapping[str, DataFrame], save) -> DataFrame
 
     label_of = stays.select("event_id", F.col("label").alias("_kept"))
     first = flow.first_event(edstays, transfers).join(label_of, "event_id", "left")
-    first = first.withColumn("label", F.coalesce(F.col("_kept"), F.col("label")))
+    first = save(first.withColumn("label", F.coalesce(F.col("_kept"), F.col("label"))).drop("_kept"), "first_events")
     units = first.where(F.col("eventtype") != "ed")
     g.link(units, "Patient", F.col("subject_id"), "ADMITTED_TO_UNIT", F.col("label"), F.col("event_id"))
     opened = flow.admission_links(first, admissions)
