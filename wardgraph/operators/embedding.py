@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, FloatType, StringType
 from wardgraph.functions import text as tx
 from wardgraph.functions.vectors import mean_vector
 from wardgraph.operators import ordered
+from wardgraph.session import written
 
 # Categories of a patient's text, in order, with their headings.
 CATEGORIES = [
@@ -183,7 +184,9 @@ def patient_text(patients: DataFrame, items: DataFrame) -> DataFrame:
     return patients.join(whole, "subject_id", "left").select("subject_id", tx.remove_stop_words(full).alias("text"))
 
 
-def patient_chunks(patients: DataFrame, items: DataFrame) -> DataFrame:
+def patient_chunks(
+    patients: DataFrame, items: DataFrame, save: Callable[[DataFrame, str], DataFrame] = written
+) -> DataFrame:
     """(subject_id, chunk_no, chunk): the chunks of ``patient_text``, put together from the items.
 
     No text is ever whole: each item knows how many words come before it, goes
@@ -206,7 +209,8 @@ def patient_chunks(patients: DataFrame, items: DataFrame) -> DataFrame:
     mark = F.when(F.col("after") == F.col("rank"), "; ").when(F.col("after").isNotNull(), " | ").otherwise("")
     piece = F.concat(F.when(opens, F.coalesce(_heading(), F.lit(""))).otherwise(""), F.col("body"), mark)
     worded = placed.select("subject_id", "rank", "item", tx.kept_words(piece).alias("words"))
-    worded = worded.withColumn("n", F.size("words").cast("bigint")).where(F.col("n") > 0)
+    # Stored, because three readers follow and the text work is the costly part.
+    worded = save(worded.withColumn("n", F.size("words").cast("bigint")).where(F.col("n") > 0), "words")
     counted = along(worded, ordered.total_before("start", F.col("n")))
     totals = worded.groupBy("subject_id").agg(F.sum("n").alias("total"))
 

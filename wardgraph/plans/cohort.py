@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardgraph.session import written
 from wardgraph.sources import files, schemas
 
 
@@ -61,11 +62,14 @@ def cut(
     Tables are found at ``source/module/table.csv``; missing ones are left
     out. Returns the names of the tables written.
     """
-    chosen = ids(cohort)
+    # Both lists are read once for every table of the catalogue.
+    chosen = written(ids(cohort), "cohort")
     read_admissions = lambda: files.csv_scan(
         spark, f"{source}/hosp/admissions.csv", schemas.HOSP["admissions"]
     )
-    hadm_ids = admissions_of(chosen, files.optional(spark, read_admissions, schemas.HOSP["admissions"]))
+    hadm_ids = written(
+        admissions_of(chosen, files.optional(spark, read_admissions, schemas.HOSP["admissions"])), "admissions"
+    )
     done = []
     for module in modules:
         for name in schemas.CATALOG[module]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardgraph.functions import clinical, text, times
-from wardgraph.operators.embedding import CHUNK_WORDS, OVERLAP_WORDS, character_chunker
+from wardgraph.operators.embedding import CHUNK_CHARS, CHUNK_WORDS, OVERLAP_CHARS, OVERLAP_WORDS, character_chunker
 from wardgraph.suite import facts
 from wardgraph.suite.registry import query
 from wardgraph.suite.sql_views import VIEWS, floats, gap, period, ts
@@ -245,9 +245,21 @@ def p18(v: Views) -> DataFrame:
     )
 
 
-@query("p18_text_chunk_characters")
+@query(
+    "p18_text_chunk_characters",
+    f"""WITH RECURSIVE ends AS (
+            SELECT doc_id, 0 AS chunk_no, 0::BIGINT AS s FROM documents
+            UNION ALL
+            SELECT doc_id, chunk_no + 1, greatest(s + CASE WHEN i > 0 THEN i + 1 ELSE {CHUNK_CHARS} END - {OVERLAP_CHARS}, s + 1)
+            FROM (SELECT e.*, length(d.text) AS n, length(regexp_extract(substr(d.text, s + 1, {CHUNK_CHARS}), '(?s)^(.*)[.|]', 1)) AS i
+                  FROM ends e JOIN documents d ON e.doc_id = d.doc_id) WHERE s + {CHUNK_CHARS} < n)
+        SELECT doc_id, chunk_no, CASE WHEN s + {CHUNK_CHARS} >= length(text) THEN substr(text, s + 1)
+               ELSE substr(text, s + 1, CASE WHEN i > 0 THEN i + 1 ELSE {CHUNK_CHARS} END) END AS chunk
+        FROM (SELECT e.*, d.text, length(regexp_extract(substr(d.text, s + 1, {CHUNK_CHARS}), '(?s)^(.*)[.|]', 1)) AS i
+              FROM ends e JOIN documents d ON e.doc_id = d.doc_id)""",
+)
 def p18_characters(v: Views) -> DataFrame:
-    """Chunks that end at sentence marks; each depends on the one before, so SQL cannot say it."""
+    """Chunks that end at sentence marks; where one ends decides where the next begins."""
     return v.table("documents").select("doc_id", F.posexplode(character_chunker()(F.col("text"))).alias("chunk_no", "chunk"))
 
 
