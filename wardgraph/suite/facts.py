@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardgraph.functions import clinical, numbers
 from wardgraph.functions.times import format_ts
-from wardgraph.operators import bundles, diagnoses, flow, intervals, lookups
+from wardgraph.operators import bundles, diagnoses, intervals, lookups
 from wardgraph.suite.registry import query
 from wardgraph.suite.sql_views import floats, shorts, ts
 from wardgraph.suite.views import Views

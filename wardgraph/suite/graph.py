@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardgraph.functions.times import format_ts
-from wardgraph.operators import graph, journey, nodes, ordered, quality
+from wardgraph.operators import graph, journey, nodes, quality
 from wardgraph.plans.build import Graph, build
 from wardgraph.suite.flow import FIRST_SQL
 from wardgraph.suite.registry import query
-from wardgraph.suite.sql_views import VIEWS, gap, period, ts
+from wardgraph.suite.sql_views import VIEWS, gap, ts
 from wardgraph.suite.views import Views
 
 # --- the graph in Spark ---------------------------------------------------------

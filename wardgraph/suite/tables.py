@@ -13,7 +13,6 @@ from wardgraph.plans import cohort
 from wardgraph.session import shared_dir
 from wardgraph.sources import files, schemas
 from wardgraph.suite.registry import query
-from wardgraph.suite.scalars import all_diagnoses  # noqa: F401
 from wardgraph.suite.sql_views import VIEWS, ts
 from wardgraph.suite.views import Views
 
