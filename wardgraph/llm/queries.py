@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardgraph.llm import lines, mixing, neardup, rules, substrings
+from wardgraph.llm import decontaminate, lines, mixing, neardup, rules, substrings
 from wardgraph.session import prepare
 
 QUERIES: dict = {}
@@ -148,3 +148,26 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN m ON m.a = d.doc_id
 def op6(table):
     """Every document with the smallest id that near duplicates lead to."""
     return neardup.near_duplicates(table("documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+BENCH_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+BENCH_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {BENCH_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {BENCH_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT DISTINCT item_id::VARCHAR AS item, array_to_string(ws[i:i + 12], ' ') AS k, least(len(ws), 13) AS n
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 11, 2))) AS i FROM b WHERE len(ws) > 0)),
+p AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+h AS (SELECT r, i, w.n, w.item FROM p JOIN (SELECT DISTINCT n FROM w) g ON i + g.n <= len(ws) + 1 JOIN w ON w.n = g.n AND w.k = array_to_string(ws[i:i + g.n - 1], ' ')),
+c AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN t ON t.r = d.r
+"""
+
+
+@query("op9_decontamination", BENCH_SQL)
+def op9(table):
+    """Every document with its words that a benchmark window covers."""
+    docs = decontaminate.contamination(table("documents").select("doc_id", "text"), table("benchmark"))
+    return docs.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
