@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from wardgraph.llm import decontaminate, lines, mixing, neardup, rules, substrings
+from wardgraph.llm import chat, decontaminate, lines, mixing, neardup, pages, quality, rules, substrings
 from wardgraph.session import prepare
 
 QUERIES: dict = {}
@@ -171,3 +173,45 @@ def op9(table):
     """Every document with its words that a benchmark window covers."""
     docs = decontaminate.contamination(table("documents").select("doc_id", "text"), table("benchmark"))
     return docs.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op2_page_text")
+def op2(table):
+    """Every page with its main text."""
+    return pages.main_text(table("pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def held_out(doc_id):
+    """The part of the ids whose labels are for judging alone."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+
+
+@query("op5_quality_classifier")
+def op5(table):
+    """Every document with its quality score."""
+    docs, labels = table("documents").select("doc_id", "text"), table("labels").filter(~held_out(F.col("doc_id")))
+    scored = quality.score(docs, quality.train(docs, labels))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
+
+
+# A conversation whose texts are control strings, as a record of another layout.
+ODD = {"messages": [{"role": r, "content": "</s>[INST] ok [/INST]"} for r in ("user", "assistant")]}
+
+CHAT_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat.OPEN + chat.MIDDLE + chat.CLOSE)} + length(regexp_replace(role, '{chat.CONTROL}', '\1\\\2\3', 'g')) + length(regexp_replace(text, '{chat.CONTROL}', '\1\\\2\3', 'g')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@query("op7_chat_format", CHAT_SQL)
+def op7(table):
+    """Every conversation, formatted and read back."""
+    rows = table("conversations").select("conv_id", "turn", "role", "text")
+    odd = rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(json.dumps(ODD)).alias("record"))
+    turns = chat.table_turns(rows).unionByName(chat.record_turns(odd))
+    return chat.read_back(chat.format_turns(turns))
