@@ -65,7 +65,7 @@ def source_targets(sources: DataFrame, share: float = 1.0, max_epochs: int = MAX
     )
 
 
-def _keyed(docs: DataFrame, text: str, doc_id: str, source: str, quality: Column | None, seed: str) -> DataFrame:
+def _keyed(docs: DataFrame, doc_id: str, source: str, quality: Column | None, seed: str) -> DataFrame:
     """Documents with unit id, source key, exponential key and slice under names of their own."""
     weight = F.lit(1.0) if quality is None else F.when(quality > 0, quality.cast("double")).otherwise(F.lit(1.0))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_mix_id"))), 1, 13), 16, 10).cast("double")
@@ -77,21 +77,24 @@ def _keyed(docs: DataFrame, text: str, doc_id: str, source: str, quality: Column
     )
 
 
-def plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", quality: Column | None = None, seed: str = "mix", share: float = 1.0, max_epochs: int = MAX_EPOCHS, weights: DataFrame | None = None) -> DataFrame:
+def _size(text: str, size: Column | None) -> Column:
+    return n_words(F.col(text)) if size is None else F.coalesce(size, F.lit(0)).cast("long")
+
+
+def plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", quality: Column | None = None, size: Column | None = None, seed: str = "mix", share: float = 1.0, max_epochs: int = MAX_EPOCHS, weights: DataFrame | None = None) -> DataFrame:
     """One row per source: size, target, whole epochs and the place where its last epoch is cut.
 
     The number of sources is that of the mix's weights, so one task orders them.
     """
     units = written(
-        _keyed(docs, text, doc_id, source, quality, seed).select("_mix_source", "_mix_slice", "_mix_key", "_mix_id", n_words(F.col(text)).alias("n")),
+        _keyed(docs, doc_id, source, quality, seed).select("_mix_source", "_mix_slice", "_mix_key", "_mix_id", _size(text, size).alias("n")),
         "mix-units",
     )
     slices = units.groupBy("_mix_source", "_mix_slice").agg(F.sum("n").alias("n"))
     sources = slices.groupBy(F.col("_mix_source").alias("source_key")).agg(F.sum("n").alias("source_size"))
-    size = F.col("source_size")
-    whole = F.floor(F.try_divide(F.col("target"), size.cast("double")))
+    whole = F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")))
     targets = source_targets(sources, share, max_epochs, weights).withColumn("epochs", F.coalesce(whole, F.lit(0)).cast("long"))
-    targets = targets.withColumn("budget", F.col("target") - F.col("epochs") * size)
+    targets = targets.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     in_order = Window.partitionBy("_mix_source").orderBy("_mix_slice").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
         slices.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0)))
@@ -116,21 +119,24 @@ def plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: st
     return written(cuts.drop("before").withColumnRenamed("_mix_slice", "cut_slice").join(last, "_mix_source", "left"), "mix-plan")
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", quality: Column | None = None, seed: str = "mix", share: float = 1.0, max_epochs: int = MAX_EPOCHS, weights: DataFrame | None = None) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", quality: Column | None = None, size: Column | None = None, seed: str = "mix", share: float = 1.0, max_epochs: int = MAX_EPOCHS, weights: DataFrame | None = None) -> DataFrame:
     """All documents with ``size``, ``source_size``, ``target``, ``copies`` (how often the mix takes it) and ``taken`` words.
 
-    ``quality`` scales a document's chance to be selected. The document at the cut
+    ``quality`` scales a document's chance to be selected; ``size`` says its words
+    where they were counted before. The document at the cut
     is taken if that brings the source nearer to its target, so a source misses
     its target by half a document at most. A run repeated on the same rows takes
     the same documents.
     """
-    cuts = plan(docs, text, doc_id, source, quality, seed, share, max_epochs, weights)
-    keyed = _keyed(docs.drop(*[c for c in OUTPUT if c in docs.columns]), text, doc_id, source, quality, seed)
-    joined = keyed.join(cuts.select("_mix_source", "source_size", "target", "epochs", "budget", "cut_slice", "cut"), "_mix_source", "left")
-    here = F.col("_mix_slice") == F.col("cut_slice")
-    selected = (F.col("budget") > 0) & ((F.col("_mix_slice") < F.col("cut_slice")) | (here & (F.struct("_mix_key", "_mix_id") <= F.col("cut"))))
-    copies = F.col("epochs") + F.when(selected, 1).otherwise(0)
+    cuts = plan(docs, text, doc_id, source, quality, size, seed, share, max_epochs, weights)
+    keyed = _keyed(docs, doc_id, source, quality, seed)
+    cuts = cuts.select("_mix_source", F.col("source_size").alias("_mix_total"), F.col("target").alias("_mix_target"), "epochs", "budget", "cut_slice", "cut")
+    joined = keyed.join(cuts.select(*[F.col(c).alias(c if c.startswith("_mix") else f"_mix_{c}") for c in cuts.columns]), "_mix_source", "left")
+    here = F.col("_mix_slice") == F.col("_mix_cut_slice")
+    selected = (F.col("_mix_budget") > 0) & ((F.col("_mix_slice") < F.col("_mix_cut_slice")) | (here & (F.struct("_mix_key", "_mix_id") <= F.col("_mix_cut"))))
+    copies = F.col("_mix_epochs") + F.when(selected, 1).otherwise(0)
     kept = [c for c in docs.columns if c not in OUTPUT]
-    return joined.withColumn("size", n_words(F.col(text))).select(
-        *kept, "size", F.col("source_size").cast("long").alias("source_size"), F.col("target"), (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies")
+    words = F.col("_mix_size")
+    return joined.withColumn("_mix_size", _size(text, size)).select(
+        *kept, words.alias("size"), F.col("_mix_total").cast("long").alias("source_size"), F.col("_mix_target").alias("target"), (words * copies).cast("long").alias("taken"), copies.cast("long").alias("copies")
     )

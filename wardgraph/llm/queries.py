@@ -6,7 +6,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from wardgraph.llm import chat, decontaminate, lines, mixing, neardup, pages, quality, rules, substrings
+from wardgraph.llm import chat, decontaminate, lines, mixing, neardup, pages, quality, rules, secrets, substrings
+from wardgraph.llm.common import n_words
 from wardgraph.session import prepare
 
 QUERIES: dict = {}
@@ -62,8 +63,8 @@ SELECT doc_id, size, ss::BIGINT AS source_size, round(target, 4) AS target,
 @query("op1_mixing", MIX_SQL.replace("round(target, 4) AS target", "target"))
 def op1(table):
     """Every document with what the mix takes of it."""
-    docs = with_quality(table("documents").select("doc_id", "source", "text"), table("labels"))
-    return mixing.mix(docs, quality=F.col("_weight")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = with_quality(table("documents").select("doc_id", "source", n_words(F.col("text")).alias("n")), table("labels"))
+    return mixing.mix(docs, quality=F.col("_weight"), size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 RULES_SQL = rf"""
@@ -215,3 +216,10 @@ def op7(table):
     odd = rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(json.dumps(ODD)).alias("record"))
     turns = chat.table_turns(rows).unionByName(chat.record_turns(odd))
     return chat.read_back(chat.format_turns(turns))
+
+
+@query("op10_secret_scan")
+def op10(table):
+    """Every candidate string of all documents with its score; the string itself as a digest."""
+    found = secrets.scan(table("documents").select("doc_id", "text", "source"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("place").cast("long").alias("place"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
