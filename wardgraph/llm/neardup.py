@@ -13,11 +13,12 @@ one class throughout, whatever their number. Candidates whose signatures agree i
 fewer than half of the values are left out: for a pair at s = 0.8 that happens with
 a probability under 1e-15. All others are verified on their full sets.
 
-Within a table key the first member is held against the others; once the links
-found are joined into components, only keys with several components go on: their
-members are held in turn, ``HEADS`` at a time, against the members of other
-components, until every such pair was verified. So no key emits all its pairs, and
-none is capped.
+Within a table key (a bucket) the first member is held against the others; links
+found are joined into components, and only pairs of different components go on. In
+buckets of up to ``LARGE`` members these are formed as they are. The members of
+larger ones are joined by their rarest shingles (a prefix filter, exact at the
+threshold), each shingle's minor components against the others. So no large bucket
+emits its pairs, and none is capped.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a
 document with fewer words than the shingle has its whole sequence as its set; rows
@@ -40,7 +41,9 @@ from pyspark.sql import types as T
 from wardgraph.llm.common import ascii_lower, counted, plain, written
 from wardgraph.llm.hashing import M2, WordHashes, mixed, windows
 
-ROWS, HALVES, HEADS = 4, 20, 64
+ROWS, HALVES, LARGE = 4, 20, 64
+# Longs of a set's bitmap; where two bitmaps differ, the sets do.
+BITMAP = 32
 SHINGLE, PERCENT = 2, 80
 OUTPUT = ["n_shingles", "component_id", "kept"]
 
@@ -122,8 +125,14 @@ def _sets(size: int):
                 rows = range(start, min(start + 1000, batch.num_rows))
                 own = [shingles(texts[i].as_py().encode().split(), known, size) for i in rows]
                 ends = np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int32)
+                bits = np.zeros((len(own), 64 * BITMAP), bool)
+                for k, x in enumerate(own):
+                    bits[k, x % np.uint64(64 * BITMAP)] = True
+                maps = np.packbits(bits, axis=1).view(np.int64).ravel()
+                at = pa.array(np.arange(0, len(maps) + 1, BITMAP, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(start, len(rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))], names=["doc", "set"]
+                    [batch.column("doc").slice(start, len(rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64))), pa.ListArray.from_arrays(at, pa.array(maps))],
+                    names=["doc", "set", "bits"],
                 )
 
     return run
@@ -142,7 +151,6 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = written(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
@@ -150,7 +158,7 @@ def components(links: DataFrame) -> DataFrame:
         if after == state:
             break
         state = after
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return written(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "components")
 
 
 def _agreement(a: str, b: str):
@@ -172,13 +180,48 @@ def _linked(pairs: DataFrame, signatures: DataFrame, keyed: DataFrame, size: int
     near = written(near, "near-pairs")
     both = F.array(F.struct(F.col("a").alias("doc"), F.col("body_a").alias("body")), F.struct(F.col("b").alias("doc"), F.col("body_b").alias("body")))
     ends = written(near.select(F.explode(both).alias("e")).select("e.*").distinct(), "pair-ends")
-    schema = T.StructType([keyed.schema["doc"], T.StructField("set", T.ArrayType(T.LongType(), False))])
-    sets = written(keyed.join(counted(ends), ["doc", "body"], "left_semi").select("doc", "words").mapInArrow(_sets(size), schema), "sets")
+    sets = _shingle_sets(ends, keyed, size)
     verified = near.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return written(verified.filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b").distinct(), "links")
 
 
+def _shingle_sets(rows: DataFrame, keyed: DataFrame, size: int) -> DataFrame:
+    """(doc, set, bits) for (doc, body): the full set and a bitmap of its members."""
+    schema = T.StructType([keyed.schema["doc"], T.StructField("set", T.ArrayType(T.LongType(), False)), T.StructField("bits", T.ArrayType(T.LongType(), False))])
+    return written(keyed.join(counted(rows), ["doc", "body"], "left_semi").select("doc", "words").mapInArrow(_sets(size), schema), "sets")
+
+
+def _rare_pairs(crowd: DataFrame, signatures: DataFrame, keyed: DataFrame, size: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of a crowd (class, component) that can be linked and lie in different components.
+
+    Sets of similarity s share one of their n - ceil(s n) + 1 rarest shingles, in
+    any order that holds for all. A shingle's members are compared only with those
+    outside the component that has most of them, and only if neither the shingles
+    they share with the crowd nor their bitmaps rule a link out.
+    """
+    ends = written(signatures.join(crowd, "class").select(F.col("class").alias("doc"), "body").distinct(), "crowd-ids")
+    sets = _shingle_sets(ends, keyed, size).dropDuplicates(["doc"]).join(crowd.withColumnRenamed("class", "doc"), "doc")
+    sets = written(sets, "crowd-sets")
+    each = written(sets.select("doc", "component", F.size("set").alias("n"), F.explode("set").alias("shingle")), "crowd-shingles")
+    counts = each.groupBy("shingle").agg(F.count("*").alias("k"))
+    # A shingle that only one member has links nobody, but fills its place; those
+    # that others have too (``shared``) bound what two sets can have in common.
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("k", "shingle"))
+    shared = F.count(F.when(F.col("k") > 1, 1)).over(Window.partitionBy("doc"))
+    first = each.join(written(counts, "shingle-counts"), "shingle").withColumn("place", place).withColumn("shared", shared)
+    first = written(first.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("k > 1").select("shingle", "doc", "component", "n", "shared"), "prefixes")
+    first = first.join(sets.select("doc", "bits"), "doc")
+    most = first.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("parts"))
+    minor = first.join(most.filter("parts > 1"), "shingle").filter("component <> most").select("shingle", F.col("doc").alias("x"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("shared").alias("x_shared"), F.col("bits").alias("x_bits"))
+    most_common = F.least("shared", "x_shared")
+    can_link = 100 * most_common >= percent * (F.col("n") + F.col("m") - most_common)
+    apart = F.aggregate(F.zip_with("bits", "x_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    can_link = can_link & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")))
+    pairs = minor.join(first, (minor["shingle"] == first["shingle"]) & (F.col("c") != F.col("component")) & can_link)
+    return pairs.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b"))
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc, n, class, component), one row per id: its set's size, the smallest id with an equal set and the smallest id reachable by links."""
     keyed = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(plain(text)).alias("body"), ascii_lower(plain(text)).alias("words")).filter("doc IS NOT NULL")
@@ -186,7 +229,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
     signed = written(keyed.mapInArrow(_signed(size), T.StructType([id_field, *SIGNATURES])), "signatures")
     each = signed.groupBy("doc").agg(F.min(F.struct("body", "n", "same")).alias("of")).select("doc", "of.*")
     filled = written(each.filter("n > 0"), "filled")
-    first = filled.groupBy("n", "same").agg(F.min("doc").alias("class"))
+    # Written, so that Spark can split the join where one set has many copies.
+    first = written(filled.groupBy("n", "same").agg(F.min("doc").alias("class")), "firsts")
     member = written(filled.join(first, ["n", "same"]).select("doc", "body", "n", "class"), "classes")
     heads = member.filter("doc = class").select("doc", "body")
     signatures = signed.join(heads, ["doc", "body"]).dropDuplicates(["doc"]).select(F.col("doc").alias("class"), "body", "n", "halves", "signature")
@@ -197,25 +241,48 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
     live = half.join(shared, "half").groupBy("class").agg(F.collect_list(F.when(F.col("slot") < HALVES, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("slot") >= HALVES, F.col("half"))).alias("b"))
     tables = live.select("class", F.explode("a").alias("a"), "b").select("class", "a", F.explode("b").alias("b")).select("class", F.xxhash64("a", "b").alias("key"))
     tables = written(tables, "tables")
-    met = written(tables.groupBy("key").agg(F.count("*").alias("k"), F.min("class").alias("a"), F.max("class").alias("b")).filter("k > 1"), "met")
-    crowded = written(tables.join(met.filter("k > 2").select("key", "a"), "key"), "crowded")
-    stars = met.filter("k = 2").select("a", "b").union(crowded.filter("class <> a").select("a", F.col("class").alias("b"))).distinct()
-    links = _linked(stars, signatures, keyed, size, percent)
-
-    start = 1
-    while True:
-        joined = components(links)
-        located = crowded.select("key", "class").join(joined, F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-        parts = located.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
-        ranked = located.join(parts, "key").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("class")))
-        ranked = written(ranked.filter(F.col("place") > start), "open")
-        heads = ranked.filter(F.col("place") <= start + HEADS).select("key", F.col("class").alias("a"), F.col("component").alias("c"), F.col("place").alias("p"))
-        pairs = ranked.join(heads, "key").filter("place > p AND component <> c").select("a", F.col("class").alias("b")).distinct()
-        pairs = written(pairs, "pairs")
-        if not pairs.head(1):
-            break
-        links = written(links.union(_linked(pairs, signatures, keyed, size, percent)).distinct(), "links")
-        start += HEADS
+    met = tables.groupBy("key").agg(F.count("*").alias("k"), F.min("class").alias("head")).filter("k > 1")
+    met = written(tables.join(written(met, "met"), "key"), "buckets")
+
+    def placed_in(components: DataFrame, rows: DataFrame) -> DataFrame:
+        at = components.withColumnRenamed("node", "class")
+        return rows.join(at, "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+    def verified(pairs: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        found = _linked(written(pairs.distinct(), "pairs"), signatures, keyed, size, percent)
+        links = found if links is None else written(links.union(found).distinct(), "links")
+        return links, components(links)
+
+    # Large buckets: the first member against the others, then, where a bucket has
+    # several components, their rarest shingles decide who can still be linked.
+    large, small = met.filter(F.col("k") > LARGE), met.filter(F.col("k") <= LARGE)
+    links, joined = verified(large.filter("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")))
+    located = placed_in(joined, large.select("key", "class"))
+    parts = located.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
+    crowd = written(located.join(parts, "key").select("class", "component").distinct(), "crowd")
+    if crowd.head(1):
+        links, joined = verified(_rare_pairs(crowd, signatures, keyed, size, percent), links)
+
+    # Small buckets: the first member likewise, then the pairs of other components.
+    # Pairs of the crowd are done.
+    def not_done(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(crowd.select(F.col("class").alias(side), F.lit(True).alias(f"crowd_{side}")), side, "left")
+        return pairs.filter("crowd_a IS NULL OR crowd_b IS NULL").select("a", "b")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+        return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+    stars = small.filter("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
+    links, joined = verified(not_done(apart(stars)), links)
+    located = placed_in(joined, small.filter("k > 2").select("key", "head", "class"))
+    parts = located.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
+    located = written(located.join(parts, "key").filter("class <> head"), "open")
+    other = located.select("key", F.col("class").alias("b"), F.col("component").alias("d"))
+    pairs = located.select("key", F.col("class").alias("a"), "component").join(other, "key").filter("a < b AND component <> d").select("a", "b").distinct()
+    links, joined = verified(not_done(pairs), links)
     placed = member.join(joined, F.col("class") == F.col("node"), "left").select("doc", "n", "class", F.coalesce("component", "class").alias("component"))
     return placed.unionByName(each.filter("n = 0").select("doc", "n", F.col("doc").alias("class"), F.col("doc").alias("component")))
 

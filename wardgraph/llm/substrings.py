@@ -122,7 +122,8 @@ def copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """(doc, body): documents whose whole text a document with a smaller id has. All their windows repeat, so only the first of equal texts goes on."""
     texts = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(plain(text)).alias("body"), F.md5(plain(text)).alias("whole")).filter("doc IS NOT NULL")
     texts = written(texts, "texts")
-    firsts = texts.groupBy("body", "whole").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    # Written, so that Spark can split the join where one text has many copies.
+    firsts = written(texts.groupBy("body", "whole").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last"), "first-texts")
     return written(texts.join(firsts, ["body", "whole"]).filter("doc > first").select("doc", "body").distinct(), "copies")
 
 
