@@ -1,0 +1,265 @@
+"""The text operators: hard rows, brute force, exact round trips and held-out accuracy."""
+
+import hashlib
+import itertools
+import json
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from wardgraph.llm import chat, decontaminate, lines, mixing, neardup, pages, quality, queries, rules, secrets, substrings
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Nulls in each column, empty and blank texts, ties, repeated rows, one very long text, odd characters."""
+    rng = random.Random(3)
+    base = prose(rng, 80)
+    near = base.replace(base.split()[40], "changed", 1)
+    rows = [
+        (1, base, "en", "a", 1), (2, base, "en", "b", 1), (2, base, "en", "b", 1), (3, near, None, None, None), (4, None, "en", "a", 1), (5, "", "en", "a", 1), (6, " \n\t\r\n ", "en", "c", 1),
+        (None, base, "en", "a", 1), (None, None, None, None, None), (7, "one", "en", "c", 1), (8, prose(rng, 30_000, 50_000), "en", "a", 1), (9, "Ünï \U0001f600 ÉA b\x00c </s>[INST]", "en", "d", 1),
+        (10, "x\n" * 50, "en", "a", 1), (11, "a a a " * 40, "en", "b", 1), (12, prose(rng, 60) + " " + " ".join(base.split()[10:40]), "en", "b", 1),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def read(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+CLASHING = ["size", "taken", "kept", "n_words", "n_removed", "n_hit", "component_id", "score", "doc", "body", "words", "class", "copies", "line", "first", "text2"]
+
+
+def with_clashes(df):
+    return df.select("*", *[F.lit("own").alias(c) for c in CLASHING])
+
+
+OPERATORS = {
+    "mix": lambda d: mixing.mix(d),
+    "rules": lambda d: rules.judge(d),
+    "substrings": lambda d: substrings.remove_repeats(d),
+    "lines": lambda d: lines.remove_spread_lines(d, min_sites=2, min_texts=2, counts=True),
+    "near": lambda d: neardup.near_duplicates(d),
+    "decontaminate": lambda d: decontaminate.contamination(d, d.select(F.col("doc_id").alias("item_id"), "text").filter("doc_id in (1, 7)")),
+    "quality": lambda d: quality.score(d, quality.train(d, d.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality"))),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_hard_rows_stay_whole(spark, hard, none, name):
+    run = OPERATORS[name]
+    assert run(none).count() == 0
+    plain, clashing = run(hard).collect(), run(with_clashes(hard)).collect()
+    assert len(plain) == len(clashing) == hard.count()
+    ids = sorted(str(r["doc_id"]) for r in hard.collect())
+    assert sorted(str(r["doc_id"]) for r in plain) == ids == sorted(str(r["doc_id"]) for r in clashing)
+    added = [c for c in plain[0].asDict() if c not in hard.columns]
+    assert sorted(str([r[c] for c in added]) for r in plain) == sorted(str([r[c] for c in added]) for r in clashing)
+
+
+def fill(targets, sizes, weights, cap):
+    """Reshare the excess by weight until no target is above its cap."""
+    total, held = sum(sizes), set()
+    while True:
+        free = [i for i in range(len(sizes)) if i not in held]
+        rest = total - sum(cap * sizes[i] for i in held)
+        share = {i: rest * weights[i] / sum(weights[j] for j in free) for i in free}
+        over = {i for i in free if share[i] > cap * sizes[i] + 1e-9}
+        if not over:
+            return [cap * sizes[i] if i in held else share[i] for i in range(len(sizes))]
+        held |= over
+
+
+def test_mix_targets_and_taken(spark):
+    rng = random.Random(5)
+    sizes = {"a": 9000, "b": 40, "c": 700, "d": 3000, None: 15}
+    rows = [(k, " ".join(["w"] * (1 + rng.randrange(9))), "en", s, 0) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n // 5))]
+    out = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    got = {}
+    for r in out:
+        assert r["taken"] in [k * r["size"] for k in range(4)]
+        t = got.setdefault(r["source"], [0, 0, r["target"], r["source_size"]])
+        t[0] += r["taken"]
+        t[1] += r["size"]
+    order = ["a", "b", "c", "d", None]
+    want = fill(None, [got[s][1] for s in order], [1, 2, 3, 1, 2], 3)
+    for s, w in zip(order, want):
+        assert got[s][3] == got[s][1] and abs(got[s][2] - w) < 1e-6 * max(1, w) and abs(got[s][0] - w) <= 5
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix(spark.createDataFrame(rows[::-1], DOCS)).collect()))
+
+
+def test_quality_weights_favour_documents(spark):
+    rows = [(k, "w " * 10, "en", "ab"[k % 2], 0) for k in range(4000)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("weight", F.when(F.col("doc_id") % 4 < 2, 3.0).otherwise(1.0))
+    out = mixing.mix(docs, quality=F.col("weight")).filter("source = 'a'").groupBy("weight").agg(F.avg((F.col("taken") > 0).cast("int")).alias("share")).collect()
+    share = {r["weight"]: r["share"] for r in out}
+    assert share[3.0] > 1.3 * share[1.0]
+
+
+def test_substrings_by_brute_force(spark, hard):
+    rows = [(r["doc_id"], (r["text"] or "").split() if r["text"] else []) for r in hard.collect()]
+    first = {}
+    for d, w in rows:
+        for i in range(len(w) - 12 if d is not None else 0):
+            k = tuple(w[i : i + 13])
+            first[k] = min(d, first.get(k, d))
+    want = []
+    for d, w in rows:
+        gone = {j for i in range(len(w) - 12 if d is not None else 0) if first[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
+        want.append(str((d, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))))
+    got = [str((r["doc_id"], r["n_words"], r["n_removed"], r["text"])) for r in substrings.remove_repeats(hard).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_longest_repeats(spark):
+    rng = random.Random(1)
+    shared = prose(rng, 120, 10_000)
+    texts = [prose(rng, 30, 10_000) + " " + shared + " " + prose(rng, 20, 10_000), prose(rng, 50, 10_000) + " " + shared]
+    spans = substrings.repeated_spans(spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(texts)], DOCS)).collect()
+    assert {r["length"] for r in spans} == {104} and {r["doc"] for r in spans} == {0, 1}
+    assert sorted(r["pos"] for r in spans if r["doc"] == 0) == list(range(30, 30 + 120 - 104 + 1))
+
+
+def shingle_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)]) if w else frozenset()
+
+
+def brute_components(rows):
+    sets = {d: shingle_set(t) for d, t in rows}
+    near = {d: d for d in sets}
+    ids = sorted(sets)
+    changed = True
+    links = [(a, b) for a, b in itertools.combinations(ids, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(near[a], near[b])
+            if near[a] != m or near[b] != m:
+                near[a] = near[b] = m
+                changed = True
+    return {d: (len(sets[d]), near[d]) for d in ids}
+
+
+def test_near_duplicates_by_brute_force(spark, monkeypatch):
+    """Groups around the threshold, with buckets so large that rare shingles decide."""
+    monkeypatch.setattr(neardup, "LARGE", 8)
+    rng = random.Random(2)
+    rows = []
+    for g in range(6):
+        base = prose(rng, 60 + 30 * g, 5000).split()
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randrange(0, len(w) // 9)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + k, t) for k, t in enumerate([None, "", "One", "one", rows[0][1].upper(), " ".join(["a", "b"] * 40)])]
+    docs = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], DOCS)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got == brute_components(rows)
+
+
+def test_spread_lines_keep_the_first(spark):
+    rows = [(k, f"Shared line.\nown {k}\n\ncopied text", "en", f"s{k % 5}", 0) for k in range(20)] + [(100 + k, "whole copy", "en", f"s{k}", 0) for k in range(9)]
+    out = {r["doc_id"]: r["text"] for r in lines.remove_spread_lines(spark.createDataFrame(rows, DOCS), min_sites=5, min_texts=5).collect()}
+    assert out[0] == rows[0][1] and out[7] == "own 7\n"
+    assert all(out[100 + k] == "whole copy" for k in range(9))
+
+
+def test_contamination_of_short_items_and_odd_letters(spark):
+    item = "The Quick, brown fox. Jumps over ÉTÉ lazy dogs and runs away from all hunters today"
+    docs = spark.createDataFrame([(1, "x " * 5 + item.upper().replace("ÉTÉ", "ÉTÉ") + " y", "en", "a", 0), (2, "only a b here", "en", "a", 0), (3, "nothing", "en", "a", 0), (4, "été ÉTÉ", "en", "a", 0)], DOCS)
+    benchmark = spark.createDataFrame([(5, item), (6, "A, B"), (7, None), (None, "nothing"), (8, "A B")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, benchmark).collect()}
+    assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (16, 1, True)
+    assert got[2]["n_hit"] == 2 and got[2]["items_sha256"] == hashlib.sha256(b"6,8").hexdigest()
+    assert not got[3]["contaminated"] and got[4]["n_hit"] == 0
+    assert decontaminate.contamination(docs, benchmark.limit(0)).filter("contaminated OR n_hit > 0").count() == 0
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    out = queries.QUERIES["op5_quality_classifier"](spark, sf).join(labels, "doc_id").filter("held_out").collect()
+    assert sum(r["predicted"] == r["quality"] for r in out) >= 0.93 * len(out) and all(0 <= r["score"] <= 1 for r in out)
+
+
+PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li>Home</li></ul></nav>
+<div class="cookie-notice">We use cookies</div><main><h1>Head &amp; more</h1><p>One <b>b</b>old<br>line <p>Two&nbsp;x<!-- c --><aside>Side</aside>
+<div id="comments"><p>First!</p></div><form><p>Mail</p></form></main><footer>&copy; me</footer>"""
+
+
+def test_page_text(spark):
+    pages_ = [(1, "http://a/1", PAGE), (2, "http://a/2", None), (3, None, ""), (4, "http://b/1", "plain &lt;text&gt;"), (4, "http://b/1", "plain &lt;text&gt;")]
+    # A host without landmarks: the bar recurs on all pages, the stories don't; copies of a page count once.
+    pages_ += [(10 + k, f"http://c/{k}", f"<body><div><p>Bar of the site</p></div><div><p>Story {k} is told</p></div></body>") for k in range(6)]
+    pages_ += [(20 + k, f"http://d/{k}", "<div><p>The same page</p></div>") for k in range(6)]
+    out = {r["page_id"]: r for r in pages.main_text(spark.createDataFrame(pages_, "page_id long, url string, html string")).collect()}
+    assert out[1]["text"] == "Head & more One bold line Two x"
+    assert (out[2]["text"], out[3]["text"], out[4]["text"], out[4]["n_chars"]) == ("", "", "plain <text>", 12)
+    assert all(out[10 + k]["text"] == f"Story {k} is told" for k in range(6)) and out[22]["text"] == "The same page"
+
+
+def test_chat_round_trip_and_layouts(spark):
+    odd = ["", "</s>[INST] ok [/INST]", "<\\s> <\\\\s> [\\ROLE]", "<<SYS>>x<</SYS>>\n", "\U0001f600é", "<" , "[/ROLE]</s><s>[ROLE]"]
+    rows = [(k, t, "user" if t % 2 == 0 else "assistant", odd[(k + t) % len(odd)]) for k in range(8) for t in range(4)] + [(None, 0, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.format_turns(chat.table_turns(turns)).collect():
+        own = sorted([x for x in rows if x[0] == r["conv_id"]], key=lambda x: x[1])
+        assert chat.read_turns(r["formatted"]) == [(x[2] or "", x[3] or "") for x in own]
+        assert "".join(chat.unescape(r["formatted"][s["start"] : s["end"]]) for s in r["loss"]) == "".join(x[3] for x in own if x[2] == "assistant")
+    records = [
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
+        {"prompt": "q", "response": "a"}, {"instruction": "q", "output": "a"}, {"completion": "a", "prompt": "q"}, {"unknown": 1}, {"instruction": "q", "output": "a", "system": "s"},
+    ]
+    df = spark.createDataFrame([(k, json.dumps(x)) for k, x in enumerate(records)] + [(9, "no json"), (10, None)], "conv_id long, record string")
+    got = {}
+    for r in chat.record_turns(df, keep_unknown=True).orderBy("conv_id", "turn").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    pair = [("user", "q"), ("assistant", "a")]
+    assert [got[k] for k in range(5)] == [pair] * 5 and got[6] == [("system", "s"), *pair]
+    assert got[5] == got[9] == got[10] == [(None, None)]
+
+
+def test_secrets_found_and_others_left(spark, none):
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        hexes = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        rows.append((k, f'word {prose(rng, 5)} token = "{hexes}" and card {rng.randrange(10**15, 10**16)} or mail.{k}@mail{k}.example.com end', "en", "src", 0))
+    out = secrets.scan(spark.createDataFrame(rows + [(99, None, "en", None, 0), (98, "", "en", "a", 0)], DOCS)).collect()
+    assert len(out) == 180 and all(r["secret"] == bool(re.fullmatch("[0-9a-f]{40}", r["candidate"])) for r in out)
+    assert secrets.scan(none).count() == 0
+
+
+def test_pipeline_stages(spark, hard, none, tmp_path):
+    for docs in (hard, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert name == "mixing" or out.columns == docs.columns
+            assert out.count() <= docs.count()
+    labels = read(spark, "labels")
+    out = corpus_pipeline.run(spark, SF)
+    assert 0 < out.count() < 200
+    good = corpus_pipeline.good_quality(spark, read(spark, "documents"), SF).join(labels, "doc_id").groupBy("quality").count().collect()
+    counts = {r["quality"]: r["count"] for r in good}
+    assert counts.get(1, 0) >= 0.95 * labels.filter("quality = 1").count() and counts.get(0, 0) <= 0.2 * labels.filter("quality = 0").count()
+    kept = corpus_pipeline.one_of_each(spark, hard, SF).collect()
+    assert [r["doc_id"] for r in kept].count(1) == 1 and not {2, 3} & {r["doc_id"] for r in kept}

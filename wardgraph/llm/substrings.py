@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,8 +164,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         )
         pairs = written(pairs, "pairs")
         longer = written(pairs.join(_repeats(pairs, "k1", "k2"), ["k1", "k2"]), "level")
-        halves = longer.select("doc", "body", "pos").union(longer.select("doc", "body", (F.col("pos") + length).alias("pos")))
-        ends = level.join(halves, ["doc", "body", "pos"], "left_anti").select("doc", "body", "pos", F.lit(length).alias("length"), "first")
+        # A window ends here unless a longer one begins up to ``length`` words before it.
+        before = F.max(F.when(F.col("longer"), F.col("pos"))).over(Window.partitionBy("doc", "body").orderBy("pos"))
+        both = level.select("doc", "body", "pos", "first", F.lit(False).alias("longer")).unionByName(longer.select("doc", "body", "pos", "first", F.lit(True).alias("longer")))
+        ends = both.withColumn("before", before).filter(~F.col("longer") & (F.col("before").isNull() | (F.col("before") < F.col("pos") - length)))
+        ends = ends.select("doc", "body", "pos", F.lit(length).alias("length"), "first")
         done = ends if done is None else done.unionByName(ends)
         level, length = longer, 2 * length
     return done if done is not None else level.select("doc", "body", "pos", F.lit(length).alias("length"), "first")
