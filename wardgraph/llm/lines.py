@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardgraph.llm.common import LINE_WORD, written
+from wardgraph.llm.common import BROADCAST_ROWS, LINE_WORD, written
 
 MIN_SITES = 12
 MIN_TEXTS = 12
@@ -69,14 +69,18 @@ def spread_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", si
 def remove_spread_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", site: str = "source", min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS, counts: bool = False) -> DataFrame:
     """Documents with the spread lines cut from their texts; ``counts`` adds ``n_lines`` and ``n_removed``."""
     spread = spread_lines(docs, text, doc_id, site, min_sites, min_texts)
-    hits = (
+    pairs = (
         _lines(docs, text, doc_id, site)
         .join(spread, "line")
         .filter(F.col("doc").isNull() | F.col("first").isNull() | (F.col("doc") > F.col("first")))
-        .groupBy(F.col("doc").alias("_hit_doc"))
-        .agg(F.collect_set("line").alias("_hit_lines"))
+        .select(F.col("doc").alias("_hit_doc"), "line")
+        .distinct()
     )
-    joined = docs.join(written(hits, "line-hits"), F.col(doc_id).eqNullSafe(F.col("_hit_doc")), "left")
+    pairs = written(pairs, "line-hits")
+    hits = pairs.groupBy("_hit_doc").agg(F.collect_set("line").alias("_hit_lines"))
+    # Grouped rows hold no more than the pairs they are made of.
+    hits = F.broadcast(hits) if pairs.count() <= BROADCAST_ROWS else hits
+    joined = docs.join(hits, F.col(doc_id).eqNullSafe(F.col("_hit_doc")), "left")
     joined = joined.withColumn("_lines", _split(F.col(text)))
     kept = F.filter("_lines", lambda x: ~F.array_contains("_hit_lines", F.xxhash64(x)) | ~x.rlike(LINE_WORD))
     joined = joined.withColumn("_kept", F.when(F.col("_hit_lines").isNull(), F.col("_lines")).otherwise(kept))
