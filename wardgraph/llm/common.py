@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardgraph.session import written
 
 SPACE = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 LINE_WORD = r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
