@@ -279,10 +279,11 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
     links, joined = verified(not_done(apart(stars)), links)
     located = placed_in(joined, small.filter("k > 2").select("key", "head", "class"))
     parts = located.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
-    located = written(located.join(parts, "key").filter("class <> head"), "open")
-    other = located.select("key", F.col("class").alias("b"), F.col("component").alias("d"))
-    pairs = located.select("key", F.col("class").alias("a"), "component").join(other, "key").filter("a < b AND component <> d").select("a", "b").distinct()
-    links, joined = verified(not_done(pairs), links)
+    located = located.join(parts, "key").filter("class <> head").join(crowd.select("class", F.lit(True).alias("in_crowd")), "class", "left")
+    located = written(located.withColumn("in_crowd", F.coalesce("in_crowd", F.lit(False))), "open")
+    other = located.select("key", F.col("class").alias("b"), F.col("component").alias("d"), F.col("in_crowd").alias("too"))
+    pairs = located.select("key", F.col("class").alias("a"), "component", "in_crowd").join(other, "key").filter("a < b AND component <> d AND NOT (in_crowd AND too)").select("a", "b")
+    links, joined = verified(pairs, links)
     placed = member.join(joined, F.col("class") == F.col("node"), "left").select("doc", "n", "class", F.coalesce("component", "class").alias("component"))
     return placed.unionByName(each.filter("n = 0").select("doc", "n", F.col("doc").alias("class"), F.col("doc").alias("component")))
 
