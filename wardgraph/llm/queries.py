@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from wardgraph.llm import chat, decontaminate, lines, mixing, neardup, pages, quality, rules, secrets, substrings
-from wardgraph.llm.common import n_words
+from wardgraph.llm.common import counted, n_words, written
 from wardgraph.session import prepare
 
 QUERIES: dict = {}
@@ -37,6 +37,7 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 def with_quality(docs, labels):
     """Documents with a weight from their label: 2 for good, 0.5 for bad, 1 without."""
     label = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("_quality"))
+    label = counted(written(label, "label-weights"))
     weight = F.when(F.col("_quality") >= 0.5, 2.0).when(F.col("_quality") < 0.5, 0.5).otherwise(1.0)
     return docs.join(label, "doc_id", "left").withColumn("_weight", weight).drop("_quality")
 
