@@ -244,7 +244,7 @@ def _treatments(told: Column) -> Column:
 
 
 def hpi(c: Column) -> Column:
-    imaging = let(clean(first_of(c, R.ED_IMAGING)), lambda i: F.when((i != "") & (F.length(i) < 200), i))
+    imaging = let(clean(first_of(c, R.ED_IMAGING)), lambda i: F.when(i != "", i))
     findings = F.struct(
         clean(find(c, R.ED_GENERAL)).alias("General"),
         vitals(find(c, R.ED_VITALS)).alias("Vitals"),
@@ -346,7 +346,7 @@ def _studies(text: Column) -> Column:
     found = {k: find(text, p) for k, p in R.IMAGING_STUDIES.items()}
     for aside in R.ULTRASOUND_ASIDES:
         found["U/S"] = F.regexp_replace(found["U/S"], aside, "")
-    found["U/S"] = let(clean(found["U/S"]), lambda f: F.when(F.length(f) > 10, f))
+    found["U/S"] = let(clean(found["U/S"]), lambda f: F.when(f != "", f))
     ct = clean(find(text, "\\b" + R.CT_STUDY))
     all_studies = [_study(F.lit(k), v) for k, v in found.items()]
     all_studies.append(_study(squeeze(F.concat(F.lit("CT "), ct)), find(text, "\\b" + R.CT_STUDY, group=2)))
@@ -379,7 +379,7 @@ def transitional(trans: Column, course: Column, past: Column, discharge_meds: Co
 
 def _transitional(bare: Column, trans: Column, course: Column, past: Column, discharge_meds: Column) -> Column:
     pending = F.filter(
-        bare, lambda x: F.lower(x).rlike("follow-up") & F.lower(x).rlike("culture|test") & (F.length(x) < 200)
+        bare, lambda x: F.lower(x).rlike("follow-up") & F.lower(x).rlike("culture|test")
     )
     marked = [F.when(course.rlike("(?i)" + p), F.lit(k)) for k, p in R.SCREENINGS.items()]
 
