@@ -16,6 +16,8 @@ from wardgraph.llm.queries import held_out, with_quality
 from wardgraph.session import prepare
 
 ORACLE_SQL = None
+# Words of a shingle in the near-duplicate stage.
+NEAR_SHINGLE = 5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +39,9 @@ def without_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     prepare(spark)
-    found = neardup.near_duplicates(docs.withColumn("_id", F.col("doc_id")), doc_id="_id")
+    found = neardup.near_duplicates(docs.withColumn("_id", F.col("doc_id")), doc_id="_id", size=NEAR_SHINGLE)
     kept = found.filter("kept").select(*docs.columns)
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
 
