@@ -41,9 +41,7 @@ def without_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     prepare(spark)
-    found = neardup.near_duplicates(docs.withColumn("_id", F.col("doc_id")), doc_id="_id", size=NEAR_SHINGLE)
-    kept = found.filter("kept").select(*docs.columns)
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    return neardup.one_of_each(docs, size=NEAR_SHINGLE)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

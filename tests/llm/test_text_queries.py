@@ -262,4 +262,17 @@ def test_pipeline_stages(spark, hard, none, tmp_path):
     counts = {r["quality"]: r["count"] for r in good}
     assert counts.get(1, 0) >= 0.95 * labels.filter("quality = 1").count() and counts.get(0, 0) <= 0.2 * labels.filter("quality = 0").count()
     kept = corpus_pipeline.one_of_each(spark, hard, SF).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(["1", "4", "5", "6", "7", "8", "9", "10", "11", "12", "None", "None"])
     assert [r["doc_id"] for r in kept].count(1) == 1 and not {2, 3} & {r["doc_id"] for r in kept}
+
+
+def test_one_row_of_each_id_and_component(spark):
+    rng = random.Random(9)
+    base = prose(rng, 60)
+    five = base.replace(base.split()[30], "changed", 1)
+    pairs = [(1, base, "x"), (2, five, "y"), (2, five, "z"), (3, prose(rng, 60), "p"), (3, prose(rng, 60), "q"), (None, base, "n")]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string, note string").withColumn("more", F.create_map(F.lit("k"), F.col("note")))
+    found = {size: neardup.one_of_each(docs, size=size).collect() for size in (2, 5)}
+    assert all(sorted(str(r["doc_id"]) for r in rows) == ["1", "3", "None"] for rows in found.values())
+    assert found[2][0].asDict().keys() == set(docs.columns)
+    assert sorted(map(str, found[5])) == sorted(map(str, neardup.one_of_each(docs.orderBy(F.desc("note")), size=5).collect()))

@@ -295,3 +295,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     joined = docs.join(written(found, "components"), F.col(doc_id) == F.col("_near_doc"), "left")
     component, own = F.col("_near_component"), F.col(doc_id)
     return joined.select(*names, F.coalesce("_near_n", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), (component.isNull() | (component == own)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, one for each id; rows without id all stay.
+
+    Texts are moved only for ids that several rows have, of which the row of least
+    text hash stays; all others are told by ids alone.
+    """
+    found = written(classes(docs, text, doc_id, size, percent).select(F.col("doc").alias("_near_doc"), (F.col("doc") == F.col("component")).alias("_near_kept")), "components")
+    repeated = docs.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_near_doc")).agg(F.count("*").alias("_near_n")).filter("_near_n > 1").select("_near_doc")
+    repeated = written(repeated, "repeated-ids")
+    gone = found.filter("NOT _near_kept").select("_near_doc")
+    same = F.col(doc_id) == F.col("_near_doc")
+    single = docs.join(counted(written(gone.union(repeated).distinct(), "gone")), same, "left_anti")
+    several = repeated.join(found.filter("_near_kept"), "_near_doc", "left_semi")
+    plain_columns = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    order = F.struct(F.xxhash64(plain(text)), F.xxhash64(*plain_columns))
+    several = docs.join(counted(written(several, "several")), same, "left_semi").groupBy(F.col(doc_id).alias("_near_doc")).agg(F.min_by(F.struct(*docs.columns), order).alias("_near_row"))
+    return single.unionByName(several.select("_near_row.*"))
