@@ -175,7 +175,7 @@ def map_text(m: Column, hidden: list[str]) -> Column:
 
 
 def chunk_by_words(c: Column, size: int, overlap: int) -> Column:
-    """Chunks of ``size`` words; each begins ``overlap`` words before the last one's end."""
+    """Chunks of ``size`` words parted by one space; each begins ``overlap`` words before the last one's end."""
     words = F.filter(F.split(c, "\\s+"), lambda w: w != "")
     count = F.size(words)
     step = size - overlap
@@ -183,34 +183,38 @@ def chunk_by_words(c: Column, size: int, overlap: int) -> Column:
     last = F.greatest(F.lit(0), F.ceil((count - size) / F.lit(step)).cast("int"))
     starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
     chunks = F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
-    return F.when(count <= size, F.array(c)).otherwise(chunks)
+    return F.when(c.isNotNull(), chunks)
 
 
 # --- lines of stored bundles -------------------------------------------------
 
 
 def parse_lab(line: Column) -> Column:
-    """Fields of a lab line: name, value, reference, abnormal, specimen and category.
+    """Fields of a lab line ``name=value (ref: lo-hi) [flag] specimen, category``.
 
-    Category is the part after the last comma and specimen the one before it.
+    Reference and flag may be missing. The value then ends at the first space, where
+    specimen and category begin; its unit is the rest of the value and holds no space. Text after the
+    last comma is the category, and the only part without a comma is one too.
     Null for a line without ``=``.
     """
-    name = trimmed(F.regexp_extract(line, "^([^=]*)=", 1))
-    rest = trimmed(F.replace(F.regexp_extract(line, "(?s)^[^=]*=(.*)$", 1), F.lit("[abnormal]"), F.lit("")))
-    pieces = F.split(rest, ",")
-    n = F.size(pieces)
-    category = F.when(n > 1, trimmed(F.get(pieces, n - 1))).otherwise("")
-    specimen = F.when(n > 2, trimmed(F.get(pieces, n - 2))).otherwise("")
-    body = trimmed(F.array_join(F.slice(pieces, 1, F.greatest(n - 2, F.lit(1))), ","))
+    measured = "(?s)^[^=]*=(.*)$"
+    rest = trimmed(F.regexp_extract(line, measured, 1))
+    # The tail begins after the flag, else after the reference, else after the value.
+    marked = "(?s)^(.*?)\\s*(?:\\(ref:([^)]*)\\)\\s*(\\[[^\\]]*\\])?|(\\[[^\\]]*\\]))(.*)$"
+    has_mark = rest.rlike(marked)
+    plain_value = "(?s)^(\\S*)(.*)$"
+    value = F.when(has_mark, F.regexp_extract(rest, marked, 1)).otherwise(F.regexp_extract(rest, plain_value, 1))
+    tail = trimmed(F.when(has_mark, F.regexp_extract(rest, marked, 5)).otherwise(F.regexp_extract(rest, plain_value, 2)))
+    flag = F.concat(F.regexp_extract(rest, marked, 3), F.regexp_extract(rest, marked, 4))
     return F.when(
         F.contains(line, F.lit("=")),
         F.struct(
-            name.alias("test_name"),
-            trimmed(F.regexp_extract(body, "(?s)^(.*?)(?:\\(ref:.*)?$", 1)).alias("value"),
-            trimmed(F.regexp_extract(body, "\\(ref:([^)]*)\\)", 1)).alias("ref_range"),
-            F.contains(line, F.lit("[abnormal]")).alias("is_abnormal"),
-            specimen.alias("specimen"),
-            category.alias("category"),
+            trimmed(F.regexp_extract(line, "^([^=]*)=", 1)).alias("test_name"),
+            trimmed(value).alias("value"),
+            trimmed(F.regexp_extract(rest, marked, 2)).alias("ref_range"),
+            (flag != "").alias("is_abnormal"),
+            trimmed(F.regexp_extract(tail, "(?s)^(.*),", 1)).alias("specimen"),
+            trimmed(F.regexp_extract(tail, "([^,]*)$", 1)).alias("category"),
         ),
     )
 

@@ -79,13 +79,15 @@ def unassigned_counts(unassigned: DataFrame) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """First row per non-null ``key``; rows without a key are all kept.
+    """First row per non-null ``key``; rows without a key are all kept. Rows of equal
+    ``order`` are told apart by all their columns, so a rerun keeps the same row.
 
     The winner is found by an aggregate that combines before the shuffle, so a
     key with very many repeats costs no more than any other.
     """
     whole = F.struct(*rows.columns)
-    position = F.struct(*order)
+    rest = [f.name for f in rows.schema.fields if f.name not in order and "map<" not in f.dataType.simpleString()]
+    position = F.struct(*order, *rest)
     firsts = (
         rows.where(F.col(key).isNotNull())
         .groupBy(key)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -235,21 +236,22 @@ def patient_chunks(
 def character_chunker(size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Callable[[Column], Column]:
     """Chunks of at most ``size`` characters, ended at the last ``.`` or ``|`` there is.
 
-    Where a chunk ends decides where the next begins, so this is a small loop
-    per text, run over Arrow batches.
+    One pattern says where a chunk ends: the longest run of at most ``size``
+    characters that closes with a mark, else ``size`` characters. The next chunk
+    takes up ``overlap`` characters of it again, and so depends on it.
     """
+    piece = re.compile(rf"(?s).{{1,{size - 1}}}[.|]|.{{{size}}}")
 
-    def broken(text: str) -> list[str]:
-        chunks, start = [], 0
-        while start + size < len(text):
-            cut = max(text.rfind(mark, start, start + size) for mark in ".|")
-            end = cut + 1 if cut > start else start + size
-            chunks.append(text[start:end])
-            start = max(end - overlap, start + 1)
-        return [*chunks, text[start:]]
+    def pieces(text: str) -> Iterator[str]:
+        begin = 0
+        while len(text) - begin > size:
+            found = piece.match(text, begin)
+            yield found[0]
+            begin = max(found.end() - overlap, begin + 1)
+        yield text[begin:]
 
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else broken(t))
+        return texts.map(lambda t: list(pieces(t)), na_action="ignore")
 
     return F.pandas_udf(split, ArrayType(StringType()))
 

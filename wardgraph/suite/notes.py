@@ -95,7 +95,7 @@ OF_ORDER = f"'N' || {_n(K)} AS note_id"
 def notes(v: Views) -> DataFrame:
     def build():
         # The text is made after the rows are spread, so many tasks read the notes later.
-        return v.table("orders").repartition(v.spark.sparkContext.defaultParallelism, "o_orderkey").select(
+        return v.table("orders").repartition("o_orderkey").select(
             F.expr(f"'N' || {_n(K)}").alias("note_id"),
             F.col("o_custkey").alias("subject_id"),
             F.col("o_orderkey").alias("hadm_id"),

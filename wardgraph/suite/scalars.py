@@ -233,10 +233,9 @@ STEP = CHUNK_WORDS - OVERLAP_WORDS
 @query(
     "p18_text_chunk",
     f"""WITH worded AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS words FROM documents),
-        starts AS (SELECT doc_id, text, words, unnest(CASE WHEN len(words) <= {CHUNK_WORDS} THEN [0]
+        starts AS (SELECT doc_id, words, unnest(CASE WHEN len(words) <= {CHUNK_WORDS} THEN [0]
              ELSE range(0, CAST(ceil((len(words) - {CHUNK_WORDS}) / {STEP}.0) AS BIGINT) + 1) END) AS n FROM worded)
-        SELECT doc_id, CAST(n AS BIGINT) AS chunk_no, CASE WHEN len(words) <= {CHUNK_WORDS} THEN text
-             ELSE array_to_string(words[n * {STEP} + 1 : n * {STEP} + {CHUNK_WORDS}], ' ') END AS chunk FROM starts""",
+        SELECT doc_id, CAST(n AS BIGINT) AS chunk_no, array_to_string(words[n * {STEP} + 1 : n * {STEP} + {CHUNK_WORDS}], ' ') AS chunk FROM starts""",
 )
 def p18(v: Views) -> DataFrame:
     chunks = text.chunk_by_words(F.col("text"), CHUNK_WORDS, OVERLAP_WORDS)
@@ -269,10 +268,9 @@ def p18_characters(v: Views) -> DataFrame:
 @query(
     "p14_lab_string_parse",
     f"""SELECT labevent_id, label AS test_name,
-               coalesce({floats('valuenum')} || coalesce(valueuom, ''), 'N/A') ||
-                 CASE WHEN ref_range_lower IS NULL THEN CASE WHEN flag IS NULL THEN ' ' ELSE '  ' END || fluid ELSE '' END AS value,
+               coalesce({floats('valuenum')} || coalesce(valueuom, ''), 'N/A') AS value,
                coalesce({floats('ref_range_lower')} || '-' || {floats('ref_range_upper')}, '') AS ref_range,
-               flag IS NOT NULL AS is_abnormal, '' AS specimen, category
+               flag IS NOT NULL AS is_abnormal, coalesce(fluid, '') AS specimen, coalesce(category, '') AS category
         FROM labevents JOIN d_items USING (itemid)""",
 )
 def p14(v: Views) -> DataFrame:
