@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wardgraph.functions import notes as N
 from wardgraph.operators import embedding
-from wardgraph.plans import cohort, notes, pipeline
+from wardgraph.plans import build, cohort, notes, pipeline
 from wardgraph.sources import files, schemas
 from wardgraph.streaming import arrivals
 
@@ -222,6 +222,38 @@ def test_cut_and_pipeline(spark, delivered, tmp_path):
     assert spark.read.parquet(f"{target}/graph/edges").count() > edges
 
 
+def test_a_broken_run_is_taken_up(spark, delivered, tmp_path, monkeypatch):
+    cut, broken, whole = (str(tmp_path / p) for p in ("cut", "broken", "whole"))
+    cohort.cut(spark, delivered, cut, spark.createDataFrame([("1",), ("2",)], "subject_id string"))
+    save = pipeline.save_graph
+
+    def torn(made, path, mode):
+        part = dict(list(made.frames.items())[:2])
+        save(build.Graph(part, made.edge_frames), path, mode)
+        raise RuntimeError("torn")
+
+    def failing(text):
+        return F.when(text.isNotNull(), F.raise_error(F.lit("no model")).cast("array<float>"))
+
+    monkeypatch.setattr(pipeline, "save_graph", torn)
+    with pytest.raises(RuntimeError, match="torn"):
+        pipeline.run(spark, cut, broken)
+    monkeypatch.setattr(pipeline, "save_graph", save)
+    with pytest.raises(Exception, match="no model"):
+        pipeline.run(spark, cut, broken, failing)
+    ends = {(r.script_name, r.status) for r in pipeline.read_log(spark, broken).collect()}
+    assert ends == {("graph", "failed"), ("graph", "success"), ("text_embeddings", "failed")}
+    assert pipeline.run(spark, cut, broken) == {"patients": 2}
+    assert pipeline.run(spark, cut, broken) == {"patients": 0}
+
+    pipeline.run(spark, cut, whole)
+    tables = ["graph/edges", "vectors/text", "vectors/diagnoses", "notes/documents", "notes/flat"]
+    tables += [f"graph/nodes/{p.name}" for p in (tmp_path / "whole/graph/nodes").iterdir()]
+    for table in tables:
+        one, other = (sorted(map(str, spark.read.parquet(f"{t}/{table}").collect())) for t in (broken, whole))
+        assert one == other, table
+
+
 def test_arriving_notes(spark, tmp_path):
     folder, out, mark = (str(tmp_path / p) for p in ("in", "out", "mark"))
     row = ("n1", 1, 10, "DS", 1, at(1), at(1), NOTE)

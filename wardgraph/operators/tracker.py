@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SUCCESS = "success"
+SUCCESS, FAILED = "success", "failed"
 
 
 def latest_status(log: DataFrame) -> DataFrame:

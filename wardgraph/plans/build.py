@@ -18,6 +18,7 @@ from wardgraph.functions.numbers import out_of_range
 from wardgraph.functions.times import format_ts, period_string
 from wardgraph.operators import bundles, diagnoses, flow, graph, intervals, lookups, nodes
 from wardgraph.session import written
+from wardgraph.sources import files
 
 EDGE_COLUMNS = [*graph.EDGE_KEY, "subject_id", "props"]
 
@@ -171,8 +172,14 @@ def _emergency_visits(transfers: DataFrame, edstays: DataFrame) -> DataFrame:
 def save_graph(g: Graph, path: str, mode: str = "overwrite") -> None:
     """Write the graph: one table per label, and the edges in one folder per relation.
 
-    ``append`` adds the graphs of further patients.
+    ``append`` adds the nodes and edges that are not stored yet, by key, so a save
+    that was broken off can be repeated.
     """
+    if mode == "append":
+        for label, frame in g.frames.items():
+            files.append_new(frame, f"{path}/nodes/{label}", ["key"])
+        files.append_new(g.edges(), f"{path}/edges", graph.EDGE_KEY, partition_by=["rel"])
+        return
     for label, frame in g.frames.items():
         frame.write.mode(mode).parquet(f"{path}/nodes/{label}")
     g.edges().write.mode(mode).partitionBy("rel").parquet(f"{path}/edges")

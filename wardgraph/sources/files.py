@@ -62,6 +62,17 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_new(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> None:
+    """Append the rows whose keys are not stored yet; what is stored stays as it is.
+
+    A repeat of a write that was broken off, or was done, adds no row twice.
+    """
+    spark = df.sparkSession
+    stored = optional(spark, lambda: spark.read.parquet(path).select(*keys), df.select(*keys).schema)
+    new = df.join(stored.distinct(), list(keys), "left_anti").select(*df.columns)
+    new.write.mode("append").partitionBy(*partition_by).parquet(path)
+
+
 def replace(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
