@@ -175,6 +175,12 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_components_of_chains_rings_and_stars(spark):
+    links = [(k, k + 1) for k in range(100, 160)] + [(k, 200 + (k - 199) % 30) for k in range(200, 230)] + [(300, k) for k in range(301, 340)] + [(400, 400), (501, 500), (500, 501)]
+    got = {(r["node"], r["component"]) for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {(k, 100) for k in range(101, 161)} | {(k, 200) for k in range(201, 230)} | {(k, 300) for k in range(301, 340)} | {(501, 500)}
+
+
 def test_spread_lines_keep_the_first(spark):
     rows = [(k, f"Shared line.\nown {k}\n\ncopied text", "en", f"s{k % 5}", 0) for k in range(20)] + [(100 + k, "whole copy", "en", f"s{k}", 0) for k in range(9)]
     out = {r["doc_id"]: r["text"] for r in lines.remove_spread_lines(spark.createDataFrame(rows, DOCS), min_sites=5, min_texts=5).collect()}

@@ -142,23 +142,25 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for the nodes of links (a, b): the smallest node reachable.
 
     Alternating star contractions: each node hands its larger neighbours, then its
-    smaller ones, to the least of them, until the links no longer change; the
-    number of rounds grows with the logarithm of a component's diameter.
+    smaller ones, to the least of them, until only stars around their least node
+    remain; the number of rounds grows with the logarithm of a component's diameter.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    while state[0]:
+    while _tangled(edges):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = written(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
-        after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == state:
-            break
-        state = after
-    return written(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "components")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _tangled(edges: DataFrame) -> bool:
+    """Whether edges (u, v), u > v, are more than stars: a node with two lesser neighbours, or with lesser and greater ones."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e"))
+    counts = ends.groupBy("e.node").agg(F.sum("e.down").alias("down"), F.max("e.up").alias("up"))
+    return bool(counts.filter("down > 1 OR (down > 0 AND up > 0)").head(1))
 
 
 def _agreement(a: str, b: str):
@@ -248,20 +250,23 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
         at = components.withColumnRenamed("node", "class")
         return rows.join(at, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
-    def verified(pairs: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        found = _linked(written(pairs.distinct(), "pairs"), signatures, keyed, size, percent)
-        links = found if links is None else written(links.union(found).distinct(), "links")
-        return links, components(links)
+    def verified(pairs: DataFrame, joined: DataFrame | None = None) -> DataFrame:
+        """Components by those there were and the links among the pairs."""
+        pairs = written(pairs.distinct(), "pairs")
+        if joined is not None and not pairs.head(1):
+            return joined
+        found = _linked(pairs, signatures, keyed, size, percent)
+        return components(found if joined is None else found.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     # Large buckets: the first member against the others, then, where a bucket has
     # several components, their rarest shingles decide who can still be linked.
     large, small = met.filter(F.col("k") > LARGE), met.filter(F.col("k") <= LARGE)
-    links, joined = verified(large.filter("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")))
+    joined = verified(large.filter("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")))
     located = placed_in(joined, large.select("key", "class"))
     parts = located.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
     crowd = written(located.join(parts, "key").select("class", "component").distinct(), "crowd")
     if crowd.head(1):
-        links, joined = verified(_rare_pairs(crowd, signatures, keyed, size, percent), links)
+        joined = verified(_rare_pairs(crowd, signatures, keyed, size, percent), joined)
 
     # Small buckets: the first member likewise, then the pairs of other components.
     # Pairs of the crowd are done.
@@ -276,14 +281,14 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
         return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
     stars = small.filter("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
-    links, joined = verified(not_done(apart(stars)), links)
+    joined = verified(not_done(apart(stars)), joined)
     located = placed_in(joined, small.filter("k > 2").select("key", "head", "class"))
     parts = located.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
     located = located.join(parts, "key").filter("class <> head").join(crowd.select("class", F.lit(True).alias("in_crowd")), "class", "left")
     located = written(located.withColumn("in_crowd", F.coalesce("in_crowd", F.lit(False))), "open")
     other = located.select("key", F.col("class").alias("b"), F.col("component").alias("d"), F.col("in_crowd").alias("too"))
     pairs = located.select("key", F.col("class").alias("a"), "component", "in_crowd").join(other, "key").filter("a < b AND component <> d AND NOT (in_crowd AND too)").select("a", "b")
-    links, joined = verified(pairs, links)
+    joined = verified(pairs, joined)
     placed = member.join(joined, F.col("class") == F.col("node"), "left").select("doc", "n", "class", F.coalesce("component", "class").alias("component"))
     return placed.unionByName(each.filter("n = 0").select("doc", "n", F.col("doc").alias("class"), F.col("doc").alias("component")))
 
@@ -309,6 +314,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
     gone = found.filter("NOT _near_kept").select("_near_doc")
     same = F.col(doc_id) == F.col("_near_doc")
     single = docs.join(counted(written(gone.union(repeated).distinct(), "gone")), same, "left_anti")
+    if not repeated.head(1):
+        return single
     several = repeated.join(found.filter("_near_kept"), "_near_doc", "left_semi")
     plain_columns = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
     order = F.struct(F.xxhash64(plain(text)), F.xxhash64(*plain_columns))
