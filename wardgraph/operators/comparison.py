@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,19 +43,20 @@ def pair_lists(items: DataFrame, first: int, second: int) -> DataFrame:
 def summary(patients: DataFrame, categories: Mapping[str, DataFrame]) -> DataFrame:
     """Per patient: demographics and one sorted list of different items per category.
 
-    Each category is reduced to different items per patient before it is
-    listed, and listed before it is joined, so rows never multiply.
+    The items of all categories are made distinct in one shuffle, which spreads
+    a patient over tasks, and listed in a second, whatever the number of categories.
     """
-    out = patients
-    for name, items in categories.items():
-        lists = (
-            items.where(F.col("item").isNotNull())
-            .select("subject_id", "item")
-            .distinct()
-            .groupBy("subject_id")
-            .agg(F.array_sort(F.collect_list("item")).alias(name))
-        )
-        out = out.join(lists, "subject_id", "left").withColumn(
-            name, F.coalesce(F.col(name), F.array().cast("array<string>"))
-        )
-    return out
+    parts = [
+        items.where(F.col("item").isNotNull()).select("subject_id", F.lit(name).alias("category"), F.col("item").cast("string").alias("item"))
+        for name, items in categories.items()
+    ]
+    if not parts:
+        return patients
+    lists = (
+        reduce(DataFrame.unionByName, parts)
+        .distinct()
+        .groupBy("subject_id")
+        .agg(*[F.array_sort(F.collect_list(F.when(F.col("category") == name, F.col("item")))).alias(name) for name in categories])
+    )
+    none = F.array().cast("array<string>")
+    return patients.join(lists, "subject_id", "left").withColumns({name: F.coalesce(F.col(name), none) for name in categories})
