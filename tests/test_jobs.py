@@ -141,6 +141,13 @@ def test_vitals(spark, line, want):
     assert tuple(got[f] for f in N.R.VITAL_FIELDS) == want
 
 
+def test_lab_values_behind_long_prose(spark):
+    """A text without values costs its length, not its square."""
+    text = "lorem ipsum " * 20_000 + ". WBC-7.2#HGB-12.9 GLUCOSE-96*"
+    got = frame(spark, text).select(N.lab_values(F.col("text")).alias("v")).head()["v"]
+    assert got["WBC"] == "7.2#" and {"12.9", "96*"} <= set(got.values())
+
+
 def test_headings(spark):
     rules = {"a": ("Chief Complaint:", "History")}
     texts = ["CHIEF COMPLAINT:\nx\nHISTORY", "Chief Complaint\ny", "chief complaint: z", "none"]

@@ -296,8 +296,9 @@ def lab_values(c: Column) -> Column:
 
 
 def _lab_values(c: Column) -> Column:
-    names = F.regexp_extract_all(c, F.lit("(?i)" + R.LAB_LINE), F.lit(1))
-    values = F.regexp_extract_all(c, F.lit("(?i)" + R.LAB_LINE), F.lit(2))
+    # One pass over the text. Within a run of name characters only its first one is tried:
+    # where that leads to no value, no later one does.
+    lines = F.regexp_extract_all(c, F.lit(f"(?i)(?:\\G|(?<![A-Z\\s/()]))(?:{R.LAB_LINE})"), F.lit(0))
     known = F.create_map(*[F.lit(x) for kv in R.LAB_NAMES.items() for x in kv])
     listed = F.array(*[F.lit(k) for k in R.LAB_NAMES])
 
@@ -308,8 +309,9 @@ def _lab_values(c: Column) -> Column:
 
         return let(F.upper(squeeze(n)), of)
 
+    part = "(?i)" + R.LAB_LINE
     found = F.transform(
-        F.arrays_zip(names.alias("n"), values.alias("v")), lambda e: F.struct(kept_name(e["n"]).alias("n"), e["v"].alias("v"))
+        lines, lambda x: F.struct(kept_name(F.regexp_extract(x, part, 1)).alias("n"), F.regexp_extract(x, part, 2).alias("v"))
     )
     extra = F.array(*[F.struct(F.lit(k).alias("n"), find(c, p).alias("v")) for k, p in R.EXTRA_LABS.items()])
     usable = F.filter(
