@@ -1,7 +1,10 @@
 """Secret scan with a random forest that tells secrets from other long strings.
 
-Every word of a text that holds a run of at least ``LEAST`` token characters with a
-digit in it is a candidate. Its features are the candidate's length, the share and
+Every run of at least ``LEAST`` token characters with a digit in it is a candidate,
+however many of them a word holds (compact JSON, query strings, minified code). A run
+is cut at each ``=`` or ``:`` whose following part is a candidate by itself, so that a
+name and its value part; what stands before a candidate in its word is its lead. Its
+features are the candidate's length, the share and
 transitions of character classes, how much of it the corpus's own words cover, its
 path (the source), and the words beside it. The forest is trained from labelled
 findings, on a bounded sample of ``MAX_ROWS``; everything runs on Spark's built-in
@@ -32,7 +35,16 @@ LEAST = 16
 MAX_ROWS = 5_000
 TREES, DEPTH, SEED = 20, 6, 7
 SECRET = 0.5
-TOKEN = rf"[A-Za-z0-9+/=_.@:\-]{{{LEAST},}}"
+CHARS = r"A-Za-z0-9+/=_.@:\-"
+TOKEN = rf"[{CHARS}]{{{LEAST},}}"
+# Where a word turns from token characters to others or back.
+EDGE = rf"(?<=[{CHARS}])(?=[^{CHARS}])|(?<=[^{CHARS}])(?=[{CHARS}])"
+# Where a run is cut: at "=" or ":" (not that of "://"), if what follows up to the next one is a candidate.
+CUT = rf"(?!://)[=:](?=[^=:]{{{LEAST}}})(?=[^=:0-9]*[0-9])"
+# A token with a digit, which is no name.
+VALUE = rf"(?<![{CHARS}])(?=[A-Za-z+/=_.@:\-]*[0-9]){TOKEN}"
+# Pieces of a word that count as the lead of a candidate: name, quote, mark, quote.
+LEAD = 4
 # Corpus words of three letters or more, seen so often per million words, make the dictionary.
 DICTIONARY_PER_MILLION = 20
 # Names that secrets are given to, and paths that hold made-up ones.
@@ -57,14 +69,32 @@ def dictionary(docs: DataFrame, text: str = "text", per_million: int = DICTIONAR
     return written(counts.join(total, F.col("n") * 1_000_000 >= per_million * F.col("total")).select("word"), "dictionary")
 
 
+def _values(piece: Column) -> Column:
+    """The candidates of a run, each with the text of the run before it."""
+    cuts = F.split(piece, CUT, -1)
+    each = F.transform(cuts, lambda x, i: F.struct(i.alias("cut"), x.alias("candidate"), F.when(i > 0, F.concat(F.get(cuts, i - 1), F.lit("="))).otherwise("").alias("head")))
+    return F.filter(each, lambda x: (F.length(x["candidate"]) >= LEAST) & x["candidate"].rlike("[0-9]"))
+
+
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """(doc, place, path, word, candidate, before, named, after): every candidate with its position among the text's words."""
-    w = F.col("w")
+    """(doc, place, part, path, word, candidate, lead, before, named, after): every candidate with the position of its word in the text and its own among the pieces of the word."""
+    w, pieces = F.col("w"), F.col("pieces")
     each = docs.filter(F.col(text).rlike(TOKEN)).select(F.col(doc_id).alias("doc"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("path"), words(F.col(text)).alias("w"))
-    each = each.select("doc", "path", "w", F.posexplode_outer("w").alias("place", "word")).filter(F.length("word") >= LEAST)
+    each = each.select("doc", "path", "w", F.posexplode_outer("w").alias("place", "word")).filter(F.col("word").rlike(TOKEN) & F.col("word").rlike("[0-9]"))
     beside = {"before": -1, "named": -2, "after": 1}
     each = each.select("doc", "place", "path", "word", *[F.coalesce(F.get(w, F.col("place") + k), F.lit("")).alias(c) for c, k in beside.items()])
-    return each.withColumn("candidate", F.regexp_extract("word", TOKEN, 0)).filter(F.col("candidate").rlike("[0-9]"))
+    each = each.withColumn("pieces", F.split("word", EDGE, -1)).select("*", F.posexplode("pieces").alias("piece", "run")).filter(F.col("run").rlike(f"^{TOKEN}$") & F.col("run").rlike("[0-9]"))
+    ahead = F.array_join(F.slice(pieces, F.greatest(F.col("piece") - LEAD, F.lit(0)) + 1, F.least(F.col("piece"), F.lit(LEAD))), "")
+    each = each.select("doc", "place", "path", "word", *beside, "piece", ahead.alias("ahead"), F.explode(_values(F.col("run"))).alias("value"))
+    # Other candidates are no names.
+    lead = F.regexp_replace(F.when(F.col("value.cut") > 0, F.col("value.head")).otherwise(F.col("ahead")), VALUE, "")
+    return each.select("doc", "place", F.struct("piece", "value.cut").alias("part"), "path", "word", F.col("value.candidate").alias("candidate"), lead.alias("lead"), *beside)
+
+
+def _name() -> Column:
+    """What a candidate is given to: its lead if that assigns something to a name, else the words before it too."""
+    lead, beside = F.col("lead"), F.regexp_replace(F.concat_ws(" ", "named", "before"), VALUE, "")
+    return F.when(lead.rlike(r"[A-Za-z]\w*\W*[=:]"), lead).otherwise(F.concat_ws(" ", beside, lead))
 
 
 def featured(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -73,7 +103,6 @@ def featured(found: DataFrame, known: DataFrame) -> DataFrame:
     parts = found.select("candidate").distinct().select("candidate", F.explode(F.regexp_extract_all("candidate", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("part"))
     covered = parts.join(known, F.lower("part") == F.col("word")).groupBy("candidate").agg(F.sum(F.length("part")).alias("covered"))
     joined = found.join(covered, "candidate", "left")
-    name = F.concat_ws(" ", "named", "before", "word")
     made = {
         "length": F.length(c),
         "digit_share": _share(c, "[0-9]"),
@@ -87,28 +116,28 @@ def featured(found: DataFrame, known: DataFrame) -> DataFrame:
         "coverage": F.coalesce(F.col("covered"), F.lit(0)) / F.length(c),
         "path_depth": F.regexp_count("path", F.lit("/")),
         "path_made_up": F.col("path").rlike(f"(?i){MADE_UP}"),
-        "name_before": F.regexp_replace(name, TOKEN, "").rlike(f"(?i){NAMES}"),
-        "assigned": F.concat("before", "word").rlike("[=:]"),
-        "quoted": F.col("word").rlike("^[^A-Za-z0-9]*[\"'`]"),
+        "name_before": _name().rlike(f"(?i){NAMES}"),
+        "assigned": F.concat("before", "lead", "candidate").rlike("[=:]"),
+        "quoted": F.col("lead").rlike("[\"'`][^A-Za-z0-9]*$"),
         "mail_like": c.rlike(r"@[A-Za-z0-9\-]+\."),
         "number_beside": F.col("before").rlike("[0-9]") | F.col("after").rlike("[0-9]"),
         "word_after": F.col("after").rlike(r"^\p{L}"),
     }
-    return joined.select("doc", "place", "path", "word", "candidate", "before", "named", "after", *[made[f].cast("double").alias(f) for f in FEATURES])
+    return joined.select("doc", "place", "part", "path", "word", "candidate", "lead", "before", "named", "after", *[made[f].cast("double").alias(f) for f in FEATURES])
 
 
 def sure_labels(found: DataFrame) -> Column:
     """1 for a secret, 0 for none, null where the format does not say."""
-    c, name = F.col("candidate"), F.concat_ws(" ", "named", "before")
+    c, name = F.col("candidate"), _name()
     digest = c.rlike("^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$")
-    secret = digest & name.rlike(rf"(?i)(?:{NAMES})\w*\W*[=:]") & F.col("word").rlike("[\"']")
+    secret = digest & name.rlike(rf"(?i)(?:{NAMES})\w*\W*[=:]") & F.col("lead").rlike("[\"']$")
     none = c.rlike(r"@|^[0-9.:\-]+$|://")
     return F.when(secret, 1.0).when(none, 0.0)
 
 
 def train(found: DataFrame, label: Column, max_rows: int = MAX_ROWS):
     """A forest from up to ``max_rows`` labelled findings (those of least hash), or the share of secrets where one class is missing."""
-    labelled = found.withColumn("label", label).filter("label IS NOT NULL").withColumn("order", F.xxhash64("doc", "place", "candidate"))
+    labelled = found.withColumn("label", label).filter("label IS NOT NULL").withColumn("order", F.xxhash64("doc", "place", "part", "candidate"))
     sample = written(labelled.select("label", "order", *FEATURES).orderBy("order", *FEATURES).limit(max_rows), "labelled")
     secrets, total = sample.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count("*")).first()
     if secrets == 0 or secrets == total:
@@ -118,7 +147,7 @@ def train(found: DataFrame, label: Column, max_rows: int = MAX_ROWS):
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", label: Column | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(doc, place, path, candidate, score, secret): all candidates with the forest's share of votes for a secret."""
+    """(doc, place, part, path, candidate, score, secret): all candidates with the forest's share of votes for a secret."""
     found = written(featured(candidates(docs, text, doc_id, source), dictionary(docs, text)), "findings")
     model = train(found, sure_labels(found) if label is None else label, max_rows)
     if isinstance(model, float):
@@ -126,4 +155,4 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: st
     else:
         rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
         scored = model.transform(rows).withColumn("score", F.get(vector_to_array("probability"), 1))
-    return scored.select("doc", "place", "path", "candidate", "score", (F.col("score") >= SECRET).alias("secret"))
+    return scored.select("doc", "place", "part", "path", "candidate", "score", (F.col("score") >= SECRET).alias("secret"))
