@@ -35,7 +35,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that stand on many sites; n_chars is that of the text left."""
     prepare(spark)
-    return _sized(lines.remove_spread_lines(docs), docs)
+    return _sized(lines.remove_spread_lines(docs, site_share=lines.SITE_SHARE), docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,6 +188,21 @@ def test_spread_lines_keep_the_first(spark):
     assert all(out[100 + k] == "whole copy" for k in range(9))
 
 
+def test_spread_lines_on_few_sites(spark):
+    """The production thresholds on five sources: what is on many of them goes, what only copies spread stays."""
+    rng = random.Random(11)
+    own = [f"own line {k} {prose(rng, 9)}" for k in range(60)]
+    shared = {k: [own[k], *(["All rights reserved."] if k < 40 else []), *(["on two sites"] if k % 5 < 2 else [])] for k in range(60)}
+    rows = [(k, "\n".join(shared[k]), "en", f"s{k % 5}", 0) for k in range(60)]
+    copies = [(100 + k, f"copied line\nversion {k % 4}", "en", f"s{k % 5}", 0) for k in range(20)]
+    docs = spark.createDataFrame(rows + copies, DOCS)
+    assert lines.least_sites(docs) == 3 and [lines.least_sites(docs.withColumn("source", F.col("doc_id") % n)) for n in (1, 20, 60)] == [3, 6, 12]
+    for out in (lines.remove_spread_lines(docs, site_share=lines.SITE_SHARE), corpus_pipeline.without_spread_lines(spark, docs, SF)):
+        left = {r["doc_id"]: r["text"].split("\n") for r in out.collect()}
+        assert all(left[k] == [x for x in shared[k] if k == 0 or x != "All rights reserved."] for k in range(60))
+        assert all(left[r[0]] == r[1].split("\n") for r in copies)
+
+
 def test_contamination_of_short_items_and_odd_letters(spark):
     item = "The Quick, brown fox. Jumps over ÉTÉ lazy dogs and runs away from all hunters today"
     docs = spark.createDataFrame([(1, "x " * 5 + item.upper().replace("ÉTÉ", "ÉTÉ") + " y", "en", "a", 0), (2, "only a b here", "en", "a", 0), (3, "nothing", "en", "a", 0), (4, "été ÉTÉ", "en", "a", 0)], DOCS)

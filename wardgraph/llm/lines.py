@@ -8,6 +8,12 @@ the one with the smallest id that holds it, so no line leaves the corpus. Copies
 of one text count as one text, so that a copied document is not taken for
 boilerplate (finding copies is the task of near-duplicate detection).
 
+With ``site_share`` the thresholds follow the corpus: a line is then boilerplate on
+that share of the sites that have lines (never under ``FEW_SITES``, and ``min_sites``
+always suffice), and needs no more texts than sites where at least ``OWN_TEXTS`` of
+the documents that hold it differ, so that copies are not why it is spread; else it
+needs ``min_texts``. On fewer than ``FEW_SITES`` sites no line is spread.
+
 Lines are what stands between ``\\n``; blank lines are never boilerplate and are
 kept. Lines are told apart by 64-bit hashes.
 
@@ -18,6 +24,8 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +33,8 @@ from wardgraph.llm.common import BROADCAST_ROWS, LINE_WORD, written
 
 MIN_SITES = 12
 MIN_TEXTS = 12
+# For thresholds that follow the number of sites: 6 of 20 sites.
+SITE_SHARE, FEW_SITES, OWN_TEXTS = 0.3, 3, 0.75
 # Registers 2**LG_K: standard error 1.04 / sqrt(2**LG_K), here 3.3 %. Estimates
 # within BAND of a threshold, over four standard errors, are counted exactly.
 LG_K = 10
@@ -46,29 +56,42 @@ def _lines(docs: DataFrame, text: str, doc_id: str, site: str) -> DataFrame:
     return slim.filter(F.col("words").rlike(LINE_WORD)).select(F.xxhash64("words").alias("line"), "site", "body", "doc")
 
 
-def spread_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", site: str = "source", min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """(line, first): hash of each line on at least ``min_sites`` sites and in ``min_texts`` different texts, and the smallest id that holds it."""
+def least_sites(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, site_share: float = SITE_SHARE) -> int:
+    """On how many sites a line is spread, by the number of sites that have lines."""
+    sites = docs.filter(F.col(text).rlike(LINE_WORD)).select(F.col(site).cast("string")).distinct().count()
+    return min(min_sites, max(FEW_SITES, math.ceil(site_share * sites - 1e-9)))
+
+
+def spread_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", site: str = "source", min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS, site_share: float | None = None) -> DataFrame:
+    """(line, first): hash of each line on at least ``min_sites`` sites and in ``min_texts`` different texts, or on ``site_share`` of the sites, and the smallest id that holds it."""
     lines = _lines(docs, text, doc_id, site)
-    sketched = (
-        lines.groupBy("line")
-        .agg(F.hll_sketch_agg("site", LG_K).alias("sites"), F.hll_sketch_agg("body", LG_K).alias("texts"), F.min("doc").alias("first"))
-        .select("line", "first", F.hll_sketch_estimate("sites").alias("sites"), F.hll_sketch_estimate("texts").alias("texts"))
-    )
-    over = sketched.filter((F.col("sites") >= min_sites * (1 - BAND)) & (F.col("texts") >= min_texts * (1 - BAND)))
-    over = written(over.withColumn("sure", (F.col("sites") >= min_sites * (1 + BAND)) & (F.col("texts") >= min_texts * (1 + BAND))), "spread-lines")
+    follows = site_share is not None
+    if follows:
+        min_sites = least_sites(docs, text, site, min_sites, site_share)
+    few_texts = min(min_sites, min_texts)
+    if follows:
+        # Rows without id are told by their texts.
+        lines = lines.withColumn("holder", F.when(F.col("doc").isNull(), F.col("body")).otherwise(F.xxhash64(F.col("doc").cast("string"))))
+    made = {"sites": "site", "texts": "body"} | ({"docs": "holder"} if follows else {})
+
+    def many(by: float, ratio: float) -> Column:
+        """Whether the counts, times ``by`` at least, are over the thresholds."""
+        texts = F.col("texts") >= min_texts * by
+        if follows:
+            texts |= (F.col("texts") >= few_texts * by) & (F.col("texts") >= OWN_TEXTS * ratio * F.col("docs"))
+        return (F.col("sites") >= min_sites * by) & texts
+
+    sketched = lines.groupBy("line").agg(F.min("doc").alias("first"), *[F.hll_sketch_agg(c, LG_K).alias(k) for k, c in made.items()])
+    over = sketched.select("line", "first", *[F.hll_sketch_estimate(k).alias(k) for k in made]).filter(many(1 - BAND, (1 - BAND) / (1 + BAND)))
+    over = written(over.withColumn("sure", many(1 + BAND, (1 + BAND) / (1 - BAND))), "spread-lines")
     near = over.filter(~F.col("sure")).select("line", "first")
-    exact = (
-        lines.join(near, "line")
-        .groupBy("line", "first")
-        .agg(F.count_distinct("site").alias("sites"), F.count_distinct("body").alias("texts"))
-        .filter((F.col("sites") >= min_sites) & (F.col("texts") >= min_texts))
-    )
+    exact = lines.join(near, "line").groupBy("line", "first").agg(*[F.count_distinct(c).alias(k) for k, c in made.items()]).filter(many(1, 1))
     return written(over.filter("sure").select("line", "first").unionByName(exact.select("line", "first")), "boilerplate")
 
 
-def remove_spread_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", site: str = "source", min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS, counts: bool = False) -> DataFrame:
+def remove_spread_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", site: str = "source", min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS, counts: bool = False, site_share: float | None = None) -> DataFrame:
     """Documents with the spread lines cut from their texts; ``counts`` adds ``n_lines`` and ``n_removed``."""
-    spread = spread_lines(docs, text, doc_id, site, min_sites, min_texts)
+    spread = spread_lines(docs, text, doc_id, site, min_sites, min_texts, site_share)
     pairs = (
         _lines(docs, text, doc_id, site)
         .join(spread, "line")
