@@ -237,6 +237,21 @@ def test_page_text(spark):
     assert all(out[10 + k]["text"] == f"Story {k} is told" for k in range(6)) and out[22]["text"] == "The same page"
 
 
+def test_templates_of_large_hosts_and_shared_stories(spark):
+    def page(bar, story):
+        return f"<body><div><p>{bar}</p></div><div>{''.join(f'<p>{s}</p>' for s in story)}</div></body>"
+
+    story = [f"Sentence {k} of a story that three pages tell." for k in range(4)]
+    # A bar on a fifth of a large host's pages; a story under three different bars; a quote on pages that differ in their scripts alone.
+    rows = [(k, f"http://big/{k}", page("Bar of a section" if k % 5 == 0 else f"Own line {k}", [f"Story {k} is told at length"])) for k in range(300)]
+    rows += [(1000 + k, f"http://few/{k}", page(f"Bar {k}", story if k < 3 else [f"Another story, number {k}"])) for k in range(8)]
+    rows += [(2000 + k, f"http://same/{k}", f"<body><script>{k}</script>{page('A quote', ['Twice as long a text'])}</body>") for k in range(4)]
+    out = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == (f"Story {k} is told at length" if k % 5 == 0 else f"Own line {k} Story {k} is told at length") for k in range(300))
+    assert all(out[1000 + k] == f"Bar {k} " + (" ".join(story) if k < 3 else f"Another story, number {k}") for k in range(8))
+    assert all(out[2000 + k] == "A quote Twice as long a text" for k in range(4))
+
+
 def test_chat_round_trip_and_layouts(spark):
     odd = ["", "</s>[INST] ok [/INST]", "<\\s> <\\\\s> [\\ROLE]", "<<SYS>>x<</SYS>>\n", "\U0001f600é", "<" , "[/ROLE]</s><s>[ROLE]"]
     rows = [(k, t, "user" if t % 2 == 0 else "assistant", odd[(k + t) % len(odd)]) for k in range(8) for t in range(4)] + [(None, 0, None, None)]
