@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from wardgraph.llm import chat, decontaminate, lines, mixing, neardup, pages, quality, rules, secrets, substrings
+from wardgraph.llm import chat, decontaminate, lines, middle, mixing, neardup, pages, quality, rules, secrets, substrings
 from wardgraph.llm.common import counted, n_words, written
 from wardgraph.session import prepare
 
@@ -224,3 +224,23 @@ def op10(table):
     """Every candidate string of all documents with its score; the string itself as a digest."""
     found = secrets.scan(table("documents").select("doc_id", "text", "source"))
     return found.select(F.col("doc").alias("doc_id"), F.col("place").cast("long").alias("place"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
+
+
+MIDDLE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+  sha256('{middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {middle.RATE} THEN 'plain' WHEN h4 % 100 < {middle.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+
+@query("op13_fill_in_middle", MIDDLE_SQL)
+def op13(table):
+    """Every document cut in three and put together in another order; both texts as digests."""
+    made = middle.transform(table("documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
