@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from wardgraph.llm import chat, decontaminate, lines, middle, mixing, neardup, pages, quality, rules, secrets, substrings
+from wardgraph.llm import chat, decontaminate, lines, middle, mixing, neardup, pages, quality, rules, secrets, substrings, whitening
 from wardgraph.llm.common import counted, n_words, written
 from wardgraph.session import prepare
 
@@ -226,6 +226,13 @@ def op10(table):
     return found.select(F.col("doc").alias("doc_id"), F.col("place").cast("long").alias("place"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
 
 
+@query("op12_embedding_whitening")
+def op12(table):
+    """Every vector and component, whitened."""
+    made = whitening.whitened_components(table("embeddings").select("vec_id", "embedding"))
+    return made.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 MIDDLE_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
   sha256('{middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
