@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from wardgraph.llm import chat, decontaminate, lines, middle, mixing, neardup, pages, quality, rules, secrets, substrings, whitening
+from wardgraph.llm import chat, decontaminate, jaccard, lines, middle, mixing, neardup, pages, quality, rules, secrets, substrings, whitening
 from wardgraph.llm.common import counted, n_words, written
 from wardgraph.session import prepare
 
@@ -226,6 +226,16 @@ def op10(table):
     return found.select(F.col("doc").alias("doc_id"), F.col("place").cast("long").alias("place"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "secret")
 
 
+JACCARD_SQL = NEAR_SQL.replace("CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END", "CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END")
+JACCARD_SQL = JACCARD_SQL.replace("range(1, greatest(len(ws), 2))", "range(1, greatest(len(ws) - 1, 2))").replace(">= 80 *", ">= 90 *").replace(", component_id = d.doc_id AS kept", "")
+
+
+@query("op11_ngram_jaccard_join", JACCARD_SQL)
+def op11(table):
+    """Every document with the smallest id that links of its shingles lead to."""
+    return jaccard.jaccard_components(table("documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op12_embedding_whitening")
 def op12(table):
     """Every vector and component, whitened."""
