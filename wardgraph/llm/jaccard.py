@@ -229,8 +229,10 @@ def _allocated(percent: int):
     return run
 
 
-def _can_link(percent: int, n: str, m: str):
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _can_link(percent: int, n: str, m: str, x: str, y: str):
+    """Whether sizes and bitmaps leave room for a link."""
+    apart = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (F.col(n) + F.col(m)))
 
 
 class _Links:
@@ -248,9 +250,8 @@ class _Links:
     def of(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of pairs (a, b)."""
         sides = [self.heads.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"]
-        apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        near = pairs.join(sides[0], "a").join(sides[1], "b").filter(_can_link(self.percent, "n_a", "n_b"))
-        near = written(near.filter((100 + self.percent) * apart <= (100 - self.percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b"), "near")
+        near = pairs.join(sides[0], "a").join(sides[1], "b").filter(_can_link(self.percent, "n_a", "n_b", "bits_a", "bits_b"))
+        near = written(near.select("a", "b", "n_a", "n_b"), "near")
         ends = written(near.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ends")
         sets = self.sets(ends)
         # A head has many partners: its set comes last, where Spark need not carry it for each.
@@ -266,7 +267,7 @@ class _Links:
 def _undecided_pairs(crowd: DataFrame, links: _Links) -> DataFrame:
     """Pairs (a, b) of a crowd (class, component) that can be linked, in different components: the second index."""
     percent = links.percent
-    sizes = links.heads.select("class", "n").join(crowd, "class")
+    sizes = links.heads.select("class", "n", "bits").join(crowd, "class")
     sets = links.sets(crowd.select("class"))
     each = sets.select("class", F.explode("set").alias("member"))
     common = written(each.groupBy("member").agg(F.count("*").alias("k")).filter("k > 1").select("member"), "common-members")
@@ -278,13 +279,13 @@ def _undecided_pairs(crowd: DataFrame, links: _Links) -> DataFrame:
     ranked = live.groupBy("class", "space", "need").agg(F.collect_list(F.struct("segment", "less", "key", "wholes", "lesses")).alias("rows")).join(kept.select("class", "n"), "class")
     probes = ranked.mapInArrow(_allocated(percent), "class long, key long, less boolean, wide boolean")
 
-    known = kept.select("class", "n", "sure", "component")
+    known = kept.select("class", "n", "sure", "component", "bits")
     probes = written(probes.join(known, "class"), "probes")
     index = live.select("key", "less", "class").join(known, "class")
     p, i = probes.alias("p"), index.alias("i")
     n, sure = F.col("p.n") + F.col("i.n"), F.col("p.sure") + F.col("i.sure")
-    met = (F.col("p.key") == F.col("i.key")) & (F.col("p.component") != F.col("i.component")) & _can_link(percent, "p.n", "i.n")
-    met = met & (~F.col("i.less") | (F.col("p.wide") & ~F.col("p.less"))) & ((100 + percent) * sure <= (100 - percent) * n)
+    met = (F.col("p.key") == F.col("i.key")) & (F.col("p.component") != F.col("i.component")) & (~F.col("i.less") | (F.col("p.wide") & ~F.col("p.less")))
+    met = met & ((100 + percent) * sure <= (100 - percent) * n) & _can_link(percent, "p.n", "i.n", "p.bits", "i.bits")
     return p.join(i, met).select(F.least("p.class", "i.class").alias("a"), F.greatest("p.class", "i.class").alias("b")).distinct()
 
 

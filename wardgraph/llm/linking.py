@@ -1,11 +1,11 @@
 """Components of a similarity graph whose candidate pairs stand in buckets.
 
 Members of one bucket may be linked; a bucket may hold a third of all. Instead of its
-pairs, ``grow`` tests stars: in each round a bucket's heads against its members of
-other components, which is linear in the members. Links that are found join
-components, so that later rounds test components against each other through ever
-other heads. What is left is returned: the members of buckets that still hold several
-components. ``decide`` of the caller has to be exact for these; a bucket of two members is decided by its star.
+pairs, ``grow`` tests stars: in each round a member against one or two heads of its
+buckets, of other components, which is linear in the members. Links that are found
+join components, so that later rounds test components against each other through
+ever other heads. What is left is returned: the members of buckets that still hold
+several components. The caller has to decide these exactly.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wardgraph.llm.common import written
 
-ROUNDS = 5
+ROUNDS = 3
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -51,44 +51,62 @@ def placed(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return rows.drop("component").join(at, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
-def _open(located: DataFrame, more_than: int) -> DataFrame:
-    """The rows of the buckets with more than so many members, in several components."""
-    parts = located.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("_k"))
-    return located.join(parts.filter(f"least <> most AND _k > {more_than}").select("key"), "key")
+def _open(located: DataFrame) -> DataFrame:
+    """The rows of the buckets with several components, with the bucket's number of members ``k``."""
+    parts = located.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("k")).filter("least <> most").select("key", "k")
+    return located.drop("k").join(parts, "key")
 
 
 def _stars(located: DataFrame, number: int) -> DataFrame:
-    """Pairs (a, b): each bucket's heads against its members of other components.
+    """Pairs (a, b): each member beside one head of its buckets, of another component.
 
-    The first round has one head, the most central member. Later ones have two, in
-    the component with most members and in another, which change by the round.
+    The first round's heads are the most central members, and a member is tested
+    against the most central of its heads. Later rounds have two heads a bucket, in
+    the component with most members and in another, which change by the round, and
+    test a member against two of its heads.
     """
     if number == 0:
-        heads = located.groupBy("key").agg(F.max_by("class", F.struct("rank", "class")).alias("head"), F.max_by("component", F.struct("rank", "class")).alias("of"))
+        whole = F.struct("rank", F.col("class").alias("head"), F.col("component").alias("of"))
+        heads = located.groupBy("key").agg(F.max(whole).alias("h")).select("key", "h.*")
     else:
         turn = F.xxhash64("class", F.lit(number))
         by_part = located.groupBy("key", "component").agg(F.count("*").alias("k"), F.max_by("class", F.struct(turn, "class")).alias("head"))
-        one = F.struct("head", F.col("component").alias("of"))
+        one = F.struct(F.xxhash64("head", F.lit(-number)).alias("rank"), "head", F.col("component").alias("of"))
         ranked = by_part.groupBy("key").agg(F.max_by(one, F.struct("k", "component")).alias("x"), F.max_by(one, F.struct(F.xxhash64("component", F.lit(number)), "component")).alias("y"))
-        heads = ranked.select("key", F.explode(F.array_distinct(F.array("x", "y"))).alias("h")).select("key", "h.head", "h.of")
-    pairs = located.join(written(heads, "bucket-heads"), "key").filter("component <> of")
-    return pairs.select(F.least("head", "class").alias("a"), F.greatest("head", "class").alias("b")).distinct()
+        heads = ranked.select("key", F.explode(F.array_distinct(F.array("x", "y"))).alias("h")).select("key", "h.*")
+    heads = written(heads.withColumnRenamed("rank", "of_rank"), "bucket-heads")
+    met = located.join(heads, "key").filter("component <> of").select("class", F.struct(F.col("of_rank"), "head").alias("h"))
+    best = met.groupBy("class").agg(F.array_distinct(F.array(F.max("h"), F.min("h") if number else F.max("h"))).alias("h"))
+    return best.select("class", F.explode("h.head").alias("head")).select(F.least("head", "class").alias("a"), F.greatest("head", "class").alias("b")).distinct()
 
 
 def grow(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Components (node, component) by stars, and (class, component) of the members still to be decided.
 
-    ``buckets`` has (key, class, rank), keys with several members; ``linked`` keeps
-    the linked ones of pairs (a, b).
+    ``buckets`` has (key, class, rank), keys with several members, ``rank`` larger for
+    members that more buckets hold; ``linked`` keeps the linked ones of pairs (a, b).
+    Buckets of two members, one pair each, are decided here.
     """
     joined = components(buckets.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0))
-    located = buckets.withColumn("component", F.col("class"))
+
+    def more(found: DataFrame) -> DataFrame:
+        return components(found.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    located = written(_open(buckets.withColumn("component", F.col("class"))), "open")
+    tested = None
     for number in range(rounds):
-        found = written(linked(written(_stars(located, number), "stars")), "star-links")
+        pairs = written(_stars(located, number), "stars")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = written(linked(pairs), "star-links")
         if number and not found.head(1):
             break
-        joined = components(found.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        located = written(_open(placed(buckets if not number else located, joined), 2), "open")
+        joined = more(found)
+        located = written(_open(placed(located, joined)), "open")
         if not located.head(1):
             break
-    return joined, written(located.select("class", "component").distinct(), "undecided")
+    two = located.filter("k = 2").groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).select("a", "b").distinct()
+    two = written(two if tested is None else two.join(tested, ["a", "b"], "left_anti"), "bucket-pairs")
+    if two.head(1):
+        joined = more(linked(two))
+        located = _open(placed(located, joined))
+    return joined, written(located.filter("k > 2").select("class", "component").distinct(), "undecided")
