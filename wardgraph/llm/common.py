@@ -12,11 +12,12 @@ WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 LINE_WORD = r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# A side is broadcast by hand only when it was counted and has at most so many
-# rows of two long columns, which is some 100 MB in an executor.
-BROADCAST_ROWS = 1_000_000
+# A side is broadcast by hand only when it was counted and takes at most so many
+# bytes as a hash table, which holds a row in some 48 bytes besides its columns.
+BROADCAST_BYTES = 32_000_000
+ROW_BYTES = 48
 
-__all__ = ["BROADCAST_ROWS", "LINE_WORD", "SPACE", "WORD", "ascii_lower", "counted", "n_words", "plain", "words", "written"]
+__all__ = ["BROADCAST_BYTES", "LINE_WORD", "SPACE", "WORD", "ascii_lower", "counted", "n_words", "plain", "small", "words", "written"]
 
 
 def plain(text) -> Column:
@@ -38,6 +39,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def counted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast if it has at most ``limit`` rows; else Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table, as a hash table, takes at most ``limit`` bytes."""
+    own = sum((F.octet_length(F.col(f.name).cast("binary" if f.dataType.simpleString() == "binary" else "string")) for f in df.schema if f.dataType.simpleString() in ("string", "binary")), F.lit(0))
+    lists = sum((8 * F.greatest(F.size(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString().startswith("array")), F.lit(0))
+    bytes_ = df.select((F.coalesce(own, F.lit(0)) + lists + ROW_BYTES + 8 * len(df.columns)).cast("long").alias("_bytes")).agg(F.sum("_bytes")).first()[0]
+    return (bytes_ or 0) <= limit
+
+
+def counted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if it takes at most ``limit`` bytes; else Spark shuffles both sides."""
+    return F.broadcast(df) if small(df, limit) else df

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardgraph.llm.common import BROADCAST_ROWS, LINE_WORD, written
+from wardgraph.llm.common import LINE_WORD, small, written
 
 MIN_SITES = 12
 MIN_TEXTS = 12
@@ -102,7 +102,7 @@ def remove_spread_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     pairs = written(pairs, "line-hits")
     hits = pairs.groupBy("_hit_doc").agg(F.collect_set("line").alias("_hit_lines"))
     # Grouped rows hold no more than the pairs they are made of.
-    hits = F.broadcast(hits) if pairs.count() <= BROADCAST_ROWS else hits
+    hits = F.broadcast(hits) if small(pairs) else hits
     joined = docs.join(hits, F.col(doc_id).eqNullSafe(F.col("_hit_doc")), "left")
     joined = joined.withColumn("_lines", _split(F.col(text)))
     kept = F.filter("_lines", lambda x: ~F.array_contains("_hit_lines", F.xxhash64(x)) | ~x.rlike(LINE_WORD))
