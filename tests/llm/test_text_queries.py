@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wardgraph.llm import chat, decontaminate, lines, mixing, neardup, pages, quality, queries, rules, secrets, substrings
+from wardgraph.llm import chat, decontaminate, lines, linking, mixing, neardup, pages, quality, queries, rules, secrets, substrings
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -157,9 +157,10 @@ def brute_components(rows):
     return {d: (len(sets[d]), near[d]) for d in ids}
 
 
-def test_near_duplicates_by_brute_force(spark, monkeypatch):
-    """Groups around the threshold, with buckets so large that rare shingles decide."""
-    monkeypatch.setattr(neardup, "LARGE", 8)
+@pytest.mark.parametrize("rounds", [linking.ROUNDS, 0])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, rounds):
+    """Groups around the threshold; without rounds of stars rare shingles decide alone."""
+    monkeypatch.setattr(neardup, "grow", lambda buckets, linked: linking.grow(buckets, linked, rounds))
     rng = random.Random(2)
     rows = []
     for g in range(6):
@@ -332,9 +333,11 @@ def test_one_row_of_each_id_and_component(spark):
     rng = random.Random(9)
     base = prose(rng, 60)
     five = base.replace(base.split()[30], "changed", 1)
-    pairs = [(1, base, "x"), (2, five, "y"), (2, five, "z"), (3, prose(rng, 60), "p"), (3, prose(rng, 60), "q"), (None, base, "n")]
+    # Two texts of id 3 that resemble nothing both stay; of equal rows of one id one does.
+    other = prose(rng, 60)
+    pairs = [(1, base, "x"), (2, five, "y"), (2, five, "z"), (3, prose(rng, 60), "p"), (3, other, "q"), (3, other, "r"), (None, base, "n")]
     docs = spark.createDataFrame(pairs, "doc_id long, text string, note string").withColumn("more", F.create_map(F.lit("k"), F.col("note")))
     found = {size: neardup.one_of_each(docs, size=size).collect() for size in (2, 5)}
-    assert all(sorted(str(r["doc_id"]) for r in rows) == ["1", "3", "None"] for rows in found.values())
+    assert all(sorted(str(r["doc_id"]) for r in rows) == ["1", "3", "3", "None"] for rows in found.values())
     assert found[2][0].asDict().keys() == set(docs.columns)
     assert sorted(map(str, found[5])) == sorted(map(str, neardup.one_of_each(docs.orderBy(F.desc("note")), size=5).collect()))

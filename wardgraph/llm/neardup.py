@@ -13,18 +13,17 @@ one class throughout, whatever their number. Candidates whose signatures agree i
 fewer than half of the values are left out: for a pair at s = 0.8 that happens with
 a probability under 1e-15. All others are verified on their full sets.
 
-Within a table key (a bucket) the first member is held against the others; links
-found are joined into components, and only pairs of different components go on. In
-buckets of up to ``LARGE`` members these are formed as they are. The members of
-larger ones are joined by their rarest shingles (a prefix filter, exact at the
-threshold), each shingle's minor components against the others. So no large bucket
-emits its pairs, and none is capped.
+The members of a table key (a bucket) are joined by stars (``linking``), which is
+linear in the members. Where a bucket then still holds several components, its members
+are joined by their rarest shingles (a prefix filter, exact at the threshold), each
+shingle's minor components against the others. So no bucket emits its pairs, and none
+is capped; the way is the same whatever a bucket's size.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a
 document with fewer words than the shingle has its whole sequence as its set; rows
-with a null id stand alone (component null, kept); rows of equal id are one
-document, whose text is the one of least hash, and are kept or not together; an empty table gives an empty table. Input columns with the names of
-added columns are replaced.
+with a null id stand alone (component null, kept); rows of equal id are told apart by
+their texts, each with the component of its own text; an empty table gives an empty
+table. Input columns with the names of added columns are replaced.
 """
 
 from __future__ import annotations
@@ -40,8 +39,9 @@ from pyspark.sql import types as T
 
 from wardgraph.llm.common import ascii_lower, counted, plain, written
 from wardgraph.llm.hashing import M2, WordHashes, mixed, windows
+from wardgraph.llm.linking import components, grow, placed
 
-ROWS, HALVES, LARGE = 4, 20, 64
+ROWS, HALVES = 4, 20
 # Longs of a set's bitmap; where two bitmaps differ, the sets do.
 BITMAP = 32
 SHINGLE, PERCENT = 2, 80
@@ -131,70 +131,48 @@ def _sets(size: int):
                 maps = np.packbits(bits, axis=1).view(np.int64).ravel()
                 at = pa.array(np.arange(0, len(maps) + 1, BITMAP, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(start, len(rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64))), pa.ListArray.from_arrays(at, pa.array(maps))],
-                    names=["doc", "set", "bits"],
+                    [batch.column("class").slice(start, len(rows)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64))), pa.ListArray.from_arrays(at, pa.array(maps))],
+                    names=["class", "set", "bits"],
                 )
 
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of links (a, b): the smallest node reachable.
-
-    Alternating star contractions: each node hands its larger neighbours, then its
-    smaller ones, to the least of them, until only stars around their least node
-    remain; the number of rounds grows with the logarithm of a component's diameter.
-    """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    while _tangled(edges):
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-
-
-def _tangled(edges: DataFrame) -> bool:
-    """Whether edges (u, v), u > v, are more than stars: a node with two lesser neighbours, or with lesser and greater ones."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e"))
-    counts = ends.groupBy("e.node").agg(F.sum("e.down").alias("down"), F.max("e.up").alias("up"))
-    return bool(counts.filter("down > 1 OR (down > 0 AND up > 0)").head(1))
-
-
 def _agreement(a: str, b: str):
     """Equal values of two signatures."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _linked(pairs: DataFrame, signatures: DataFrame, keyed: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose full sets reach the threshold."""
-    one = signatures.select(F.col("class").alias("a"), F.col("body").alias("body_a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-    two = signatures.select(F.col("class").alias("b"), F.col("body").alias("body_b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
-    near = (
-        pairs.join(one, "a")
-        .join(two, "b")
-        .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .filter(2 * _agreement("s_a", "s_b") >= _VALUES)
-        .select("a", "b", "n_a", "n_b", "body_a", "body_b")
-    )
-    near = written(near, "near-pairs")
-    both = F.array(F.struct(F.col("a").alias("doc"), F.col("body_a").alias("body")), F.struct(F.col("b").alias("doc"), F.col("body_b").alias("body")))
-    ends = written(near.select(F.explode(both).alias("e")).select("e.*").distinct(), "pair-ends")
-    sets = _shingle_sets(ends, keyed, size)
-    verified = near.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return written(verified.filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b").distinct(), "links")
-
-
-def _shingle_sets(rows: DataFrame, keyed: DataFrame, size: int) -> DataFrame:
-    """(doc, set, bits) for (doc, body): the full set and a bitmap of its members."""
-    schema = T.StructType([keyed.schema["doc"], T.StructField("set", T.ArrayType(T.LongType(), False)), T.StructField("bits", T.ArrayType(T.LongType(), False))])
-    return written(keyed.join(counted(rows), ["doc", "body"], "left_semi").select("doc", "words").mapInArrow(_sets(size), schema), "sets")
-
-
-def _rare_pairs(crowd: DataFrame, signatures: DataFrame, keyed: DataFrame, size: int, percent: int) -> DataFrame:
+class _Links:
+    """What is known of the classes, and the check of pairs on full sets."""
+
+    def __init__(self, heads: DataFrame, keyed: DataFrame, size: int, percent: int):
+        self.heads, self.keyed, self.size, self.percent = heads, keyed, size, percent
+
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """(class, set, bits) of classes, from their texts: the full set and a bitmap of its members."""
+        ids = written(self.heads.join(counted(classes), "class", "left_semi").select("doc", "body", "class"), "class-ids")
+        words = self.keyed.join(counted(ids), ["doc", "body"]).select("class", "words")
+        longs = T.ArrayType(T.LongType(), False)
+        schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("set", longs), T.StructField("bits", longs)])
+        return written(words.mapInArrow(_sets(self.size), schema).dropDuplicates(["class"]), "sets")
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of pairs (a, b)."""
+        sides = [self.heads.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"s_{s}")) for s in "ab"]
+        near = pairs.join(sides[0], "a").join(sides[1], "b").filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
+        near = written(near.filter(2 * _agreement("s_a", "s_b") >= _VALUES).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n")), "near-pairs")
+        sets = self.sets(written(near.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "pair-ends")).drop("bits")
+        # A head has many partners: its set comes last, so that it is not carried with each.
+        often = [near.groupBy(s).agg(F.count("*").alias(f"k_{s}")) for s in "ab"]
+        a_heads = F.col("k_a") >= F.col("k_b")
+        turned = near.join(often[0], "a").join(often[1], "b").select("a", "b", "n", F.when(a_heads, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(a_heads, F.col("b")).otherwise(F.col("a")).alias("y"))
+        both = written(turned, "turned").join(sets.select(F.col("class").alias("y"), F.col("set").alias("set_y")), "y").join(sets.select(F.col("class").alias("x"), F.col("set").alias("set_x")), "x")
+        common = F.size(F.array_intersect("set_x", "set_y"))
+        return both.filter(100 * common >= self.percent * (F.col("n") - common)).select("a", "b")
+
+
+def _rare_pairs(crowd: DataFrame, links: _Links) -> DataFrame:
     """All pairs (a, b) of a crowd (class, component) that can be linked and lie in different components.
 
     Sets of similarity s share one of their n - ceil(s n) + 1 rarest shingles, in
@@ -202,122 +180,91 @@ def _rare_pairs(crowd: DataFrame, signatures: DataFrame, keyed: DataFrame, size:
     outside the component that has most of them, and only if neither the shingles
     they share with the crowd nor their bitmaps rule a link out.
     """
-    ends = written(signatures.join(crowd, "class").select(F.col("class").alias("doc"), "body").distinct(), "crowd-ids")
-    sets = _shingle_sets(ends, keyed, size).dropDuplicates(["doc"]).join(crowd.withColumnRenamed("class", "doc"), "doc")
-    sets = written(sets, "crowd-sets")
-    each = written(sets.select("doc", "component", F.size("set").alias("n"), F.explode("set").alias("shingle")), "crowd-shingles")
+    percent = links.percent
+    sets = written(links.sets(crowd.select("class")).join(crowd, "class"), "crowd-sets")
+    each = written(sets.select("class", "component", F.size("set").alias("n"), F.explode("set").alias("shingle")), "crowd-shingles")
     counts = each.groupBy("shingle").agg(F.count("*").alias("k"))
     # A shingle that only one member has links nobody, but fills its place; those
     # that others have too (``shared``) bound what two sets can have in common.
-    place = F.row_number().over(Window.partitionBy("doc").orderBy("k", "shingle"))
-    shared = F.count(F.when(F.col("k") > 1, 1)).over(Window.partitionBy("doc"))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("k", "shingle"))
+    shared = F.count(F.when(F.col("k") > 1, 1)).over(Window.partitionBy("class"))
     first = each.join(written(counts, "shingle-counts"), "shingle").withColumn("place", place).withColumn("shared", shared)
-    first = written(first.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("k > 1").select("shingle", "doc", "component", "n", "shared"), "prefixes")
-    first = first.join(sets.select("doc", "bits"), "doc")
+    first = written(first.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("k > 1").select("shingle", "class", "component", "n", "shared"), "prefixes")
+    first = first.join(sets.select("class", "bits"), "class")
     most = first.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("parts"))
-    minor = first.join(most.filter("parts > 1"), "shingle").filter("component <> most").select("shingle", F.col("doc").alias("x"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("shared").alias("x_shared"), F.col("bits").alias("x_bits"))
+    minor = first.join(most.filter("parts > 1"), "shingle").filter("component <> most").select("shingle", F.col("class").alias("x"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("shared").alias("x_shared"), F.col("bits").alias("x_bits"))
     most_common = F.least("shared", "x_shared")
     can_link = 100 * most_common >= percent * (F.col("n") + F.col("m") - most_common)
     apart = F.aggregate(F.zip_with("bits", "x_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     can_link = can_link & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")))
     pairs = minor.join(first, (minor["shingle"] == first["shingle"]) & (F.col("c") != F.col("component")) & can_link)
-    return pairs.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b"))
+    return pairs.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc, n, class, component), one row per id: its set's size, the smallest id with an equal set and the smallest id reachable by links."""
+    """(doc, body, n, part, component): of each text the size of its set, a number of its component and the smallest id reachable by links; ``body`` is the text's hash."""
     keyed = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(plain(text)).alias("body"), ascii_lower(plain(text)).alias("words")).filter("doc IS NOT NULL")
-    id_field = T.StructField("doc", keyed.schema["doc"].dataType)
-    signed = written(keyed.mapInArrow(_signed(size), T.StructType([id_field, *SIGNATURES])), "signatures")
-    each = signed.groupBy("doc").agg(F.min(F.struct("body", "n", "same")).alias("of")).select("doc", "of.*")
-    filled = written(each.filter("n > 0"), "filled")
+    signed = keyed.mapInArrow(_signed(size), T.StructType([keyed.schema["doc"], *SIGNATURES]))
+    units = written(signed.withColumn("class", F.monotonically_increasing_id()), "signatures")
+    filled = units.filter("n > 0")
+    groups = filled.groupBy("n", "same").agg(F.min("class").alias("first"), F.count("*").alias("k")).filter("k > 1").select("n", "same", "first")
     # Written, so that Spark can split the join where one set has many copies.
-    first = written(filled.groupBy("n", "same").agg(F.min("doc").alias("class")), "firsts")
-    member = written(filled.join(first, ["n", "same"]).select("doc", "body", "n", "class"), "classes")
-    heads = member.filter("doc = class").select("doc", "body")
-    signatures = signed.join(heads, ["doc", "body"]).dropDuplicates(["doc"]).select(F.col("doc").alias("class"), "body", "n", "halves", "signature")
-    signatures = written(signatures, "heads")
+    copies = written(filled.select("n", "same", "class").join(written(groups, "groups"), ["n", "same"]).filter("class <> first").select("class", "first"), "copies")
+    heads = filled.join(counted(copies.select("class")), "class", "left_anti")
 
-    half = signatures.select("class", F.posexplode("halves").alias("slot", "half")).withColumn("half", F.xxhash64("slot", "half"))
+    half = heads.select("class", F.posexplode("halves").alias("slot", "half")).withColumn("half", F.xxhash64("slot", "half"))
     shared = half.groupBy("half").agg(F.count("*").alias("k")).filter("k > 1").select("half")
     live = half.join(shared, "half").groupBy("class").agg(F.collect_list(F.when(F.col("slot") < HALVES, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("slot") >= HALVES, F.col("half"))).alias("b"))
-    tables = live.select("class", F.explode("a").alias("a"), "b").select("class", "a", F.explode("b").alias("b")).select("class", F.xxhash64("a", "b").alias("key"))
+    live = live.withColumn("rank", F.size("a") * F.size("b"))
+    tables = live.select("class", "rank", F.explode("a").alias("a"), "b").select("class", "rank", "a", F.explode("b").alias("b")).select("class", "rank", F.xxhash64("a", "b").alias("key"))
     tables = written(tables, "tables")
-    met = tables.groupBy("key").agg(F.count("*").alias("k"), F.min("class").alias("head")).filter("k > 1")
-    met = written(tables.join(written(met, "met"), "key"), "buckets")
-
-    def placed_in(components: DataFrame, rows: DataFrame) -> DataFrame:
-        at = components.withColumnRenamed("node", "class")
-        return rows.join(at, "class", "left").withColumn("component", F.coalesce("component", "class"))
-
-    def verified(pairs: DataFrame, joined: DataFrame | None = None) -> DataFrame:
-        """Components by those there were and the links among the pairs."""
-        pairs = written(pairs.distinct(), "pairs")
-        if joined is not None and not pairs.head(1):
-            return joined
-        found = _linked(pairs, signatures, keyed, size, percent)
-        return components(found if joined is None else found.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-
-    # Large buckets: the first member against the others, then, where a bucket has
-    # several components, their rarest shingles decide who can still be linked.
-    large, small = met.filter(F.col("k") > LARGE), met.filter(F.col("k") <= LARGE)
-    joined = verified(large.filter("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")))
-    located = placed_in(joined, large.select("key", "class"))
-    parts = located.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
-    crowd = written(located.join(parts, "key").select("class", "component").distinct(), "crowd")
+    met = tables.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
+    buckets = written(tables.join(written(met, "met"), "key"), "buckets")
+
+    links = _Links(heads, keyed, size, percent)
+    joined, crowd = grow(buckets, links.of)
     if crowd.head(1):
-        joined = verified(_rare_pairs(crowd, signatures, keyed, size, percent), joined)
-
-    # Small buckets: the first member likewise, then the pairs of other components.
-    # Pairs of the crowd are done.
-    def not_done(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(crowd.select(F.col("class").alias(side), F.lit(True).alias(f"crowd_{side}")), side, "left")
-        return pairs.filter("crowd_a IS NULL OR crowd_b IS NULL").select("a", "b")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
-        return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
-    stars = small.filter("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
-    joined = verified(not_done(apart(stars)), joined)
-    located = placed_in(joined, small.filter("k > 2").select("key", "head", "class"))
-    parts = located.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
-    located = located.join(parts, "key").filter("class <> head").join(crowd.select("class", F.lit(True).alias("in_crowd")), "class", "left")
-    located = written(located.withColumn("in_crowd", F.coalesce("in_crowd", F.lit(False))), "open")
-    other = located.select("key", F.col("class").alias("b"), F.col("component").alias("d"), F.col("in_crowd").alias("too"))
-    pairs = located.select("key", F.col("class").alias("a"), "component", "in_crowd").join(other, "key").filter("a < b AND component <> d AND NOT (in_crowd AND too)").select("a", "b")
-    joined = verified(pairs, joined)
-    placed = member.join(joined, F.col("class") == F.col("node"), "left").select("doc", "n", "class", F.coalesce("component", "class").alias("component"))
-    return placed.unionByName(each.filter("n = 0").select("doc", "n", F.col("doc").alias("class"), F.col("doc").alias("component")))
+        found = links.of(written(_rare_pairs(crowd, links), "rare-pairs"))
+        joined = components(found.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    # Classes are numbers of rows; a component is told by its smallest id.
+    member = units.select("class", "doc", "body", "n").join(copies.withColumnRenamed("first", "head"), "class", "left")
+    member = written(placed(member.select("doc", "body", "n", F.coalesce("head", "class").alias("class")), joined), "members")
+    least = written(member.groupBy("component").agg(F.min("doc").alias("least")), "least")
+    return member.join(least, "component").select("doc", "body", "n", F.col("component").alias("part"), F.col("least").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """All documents with ``n_shingles``, ``component_id`` and ``kept`` (the document stands for its component)."""
-    found = classes(docs, text, doc_id, size, percent).select(F.col("doc").alias("_near_doc"), F.col("n").alias("_near_n"), F.col("component").alias("_near_component"))
+    found = classes(docs, text, doc_id, size, percent).drop("part").distinct()
+    found = written(found.select(F.col("doc").alias("_near_doc"), F.col("body").alias("_near_body"), F.col("n").alias("_near_n"), F.col("component").alias("_near_component")), "components")
     names = [c for c in docs.columns if c not in OUTPUT]
-    joined = docs.join(written(found, "components"), F.col(doc_id) == F.col("_near_doc"), "left")
-    component, own = F.col("_near_component"), F.col(doc_id)
-    return joined.select(*names, F.coalesce("_near_n", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), (component.isNull() | (component == own)).alias("kept"))
+    own = docs.select(*names, F.xxhash64(plain(text)).alias("_near_own"))
+    joined = own.join(found, (F.col(doc_id) == F.col("_near_doc")) & (F.col("_near_own") == F.col("_near_body")), "left")
+    component = F.col("_near_component")
+    return joined.select(*names, F.coalesce("_near_n", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), (component.isNull() | (component == F.col(doc_id))).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, one for each id; rows without id all stay.
+    """One row of each component: of its smallest id, of that id's texts the one of least hash; rows without id all stay.
 
-    Texts are moved only for ids that several rows have, of which the row of least
-    text hash stays; all others are told by ids alone.
+    A second row of an id goes only if its text is equal or linked. Rows are told by
+    id and text hash, so that only rows that are repeated as a whole are moved.
     """
-    found = written(classes(docs, text, doc_id, size, percent).select(F.col("doc").alias("_near_doc"), (F.col("doc") == F.col("component")).alias("_near_kept")), "components")
-    repeated = docs.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_near_doc")).agg(F.count("*").alias("_near_n")).filter("_near_n > 1").select("_near_doc")
-    repeated = written(repeated, "repeated-ids")
-    gone = found.filter("NOT _near_kept").select("_near_doc")
-    same = F.col(doc_id) == F.col("_near_doc")
-    single = docs.join(counted(written(gone.union(repeated).distinct(), "gone")), same, "left_anti")
+    found = written(classes(docs, text, doc_id, size, percent).select("doc", "body", "part"), "members")
+    heads = found.groupBy("part").agg(F.min(F.struct("doc", "body")).alias("h"), F.count("*").alias("k")).filter("k > 1")
+    heads = written(heads.select("part", "h"), "part-heads")
+    gone = found.join(heads, "part").filter(F.struct("doc", "body") != F.col("h")).select("doc", "body").distinct()
+    repeated = written(found.groupBy("doc", "body").agg(F.count("*").alias("k")).filter("k > 1").select("doc", "body"), "repeated")
+    gone = written(gone.select("doc", "body"), "gone")
+    keyed = docs.withColumn("_near_own", F.xxhash64(plain(text)))
+
+    def those(rows: DataFrame, how: str) -> DataFrame:
+        return keyed.join(counted(rows).select(F.col("doc").alias("_near_doc"), F.col("body").alias("_near_body")), (F.col(doc_id) == F.col("_near_doc")) & (F.col("_near_own") == F.col("_near_body")), how)
+
     if not repeated.head(1):
-        return single
-    several = repeated.join(found.filter("_near_kept"), "_near_doc", "left_semi")
+        return those(gone, "left_anti").select(*docs.columns)
+    single = those(written(gone.union(repeated).distinct(), "gone"), "left_anti").select(*docs.columns)
+    several = repeated.join(gone, ["doc", "body"], "left_anti")
     plain_columns = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
-    order = F.struct(F.xxhash64(plain(text)), F.xxhash64(*plain_columns))
-    several = docs.join(counted(written(several, "several")), same, "left_semi").groupBy(F.col(doc_id).alias("_near_doc")).agg(F.min_by(F.struct(*docs.columns), order).alias("_near_row"))
+    several = those(written(several, "several"), "left_semi").groupBy(F.col(doc_id).alias("_near_doc"), F.col("_near_own").alias("_near_body")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain_columns)).alias("_near_row"))
     return single.unionByName(several.select("_near_row.*"))
