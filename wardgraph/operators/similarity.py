@@ -6,8 +6,6 @@ the other vectors are scanned once and only the best k leave each task.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,16 +69,3 @@ def score_stats(scores: DataFrame) -> DataFrame:
     return scores.agg(
         F.count("score").alias("found"), F.max("score").alias("best"), F.min("score").alias("worst")
     )
-
-
-def approximate(vectors: DataFrame, subject_id: int, k: int = 20, tables: int = 8, width: float = 0.5) -> DataFrame:
-    """Approximate neighbours by random projection; the exact search is ``patients``."""
-    dense = vectors.withColumn("_v", array_to_vector(F.col("vector").cast("array<double>")))
-    unit = Normalizer(inputCol="_v", outputCol="_u").transform(dense)
-    model = BucketedRandomProjectionLSH(
-        inputCol="_u", outputCol="_h", bucketLength=width, numHashTables=tables, seed=7
-    ).fit(unit)
-    key = unit.where(F.col("subject_id") == subject_id).select("_u").head()[0]
-    found = model.approxNearestNeighbors(unit.where(F.col("subject_id") != subject_id), key, k, distCol="_d")
-    # Unit vectors: cosine = 1 - distance² / 2.
-    return found.select("subject_id", (1 - F.col("_d") * F.col("_d") / 2).alias("score"))

@@ -92,10 +92,16 @@ VIEWS["notes"] = f"""
 OF_ORDER = f"'N' || {_n(K)} AS note_id"
 
 
+# Notes of a stored file, some megabytes of text, which is a task's share of reading them.
+NOTES_PER_FILE = 5_000
+
+
 def notes(v: Views) -> DataFrame:
     def build():
         # The text is made after the rows are spread, so many tasks read the notes later.
-        return v.table("orders").repartition("o_orderkey").select(
+        # A number keeps the partitions from being joined again because the keys alone are small.
+        files = v.table("orders").count() // NOTES_PER_FILE + 1
+        return v.table("orders").repartition(files, "o_orderkey").select(
             F.expr(f"'N' || {_n(K)}").alias("note_id"),
             F.col("o_custkey").alias("subject_id"),
             F.col("o_orderkey").alias("hadm_id"),

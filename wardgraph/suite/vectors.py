@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardgraph.functions.vectors import mean_vector
-from wardgraph.operators import comparison, embedding, similarity
+from wardgraph.functions.vectors import cosine, mean_vector
+from wardgraph.operators import comparison, embedding, similarity, vector_index
+from wardgraph.session import shared_dir, written
 from wardgraph.suite import facts, graph
 from wardgraph.suite.registry import query
 from wardgraph.suite.scalars import all_diagnoses
@@ -68,10 +71,61 @@ def v4(v: Views) -> DataFrame:
     return similarity.by_index(v.vectors, SUBJECT, 20).select("subject_id", _rounded())
 
 
+_indexes: dict[tuple[str, str], vector_index.Index] = {}
+
+
+def index(v: Views) -> vector_index.Index:
+    """The stored index of all vectors, built on first use in a session."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir)
+    if key not in _indexes:
+        _indexes[key] = vector_index.build(v.vectors, f"{shared_dir(v.spark)}/index-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 @query("v4_approximate_search")
 def v4_approximate(v: Views) -> DataFrame:
-    """Random projection; which neighbours it finds depends on the projection, so there is no SQL."""
-    return similarity.approximate(v.vectors, SUBJECT, 20).select("subject_id", _rounded())
+    """Search in the nearest cells of the stored index; which cells there are depends on the learning, so there is no SQL."""
+    return vector_index.nearest_patients(index(v), SUBJECT, 20).select("subject_id", _rounded())
+
+
+@query(
+    "v4_stored_index_search",
+    f"""WITH {SCORES} SELECT subject_id, round(score, 6) AS score FROM scores WHERE subject_id <> {SUBJECT} AND round(score, 12) < 1
+        ORDER BY scores.score DESC, subject_id LIMIT 20""",
+)
+def v4_stored(v: Views) -> DataFrame:
+    """With all cells probed the stored index gives what the exact search gives."""
+    return vector_index.nearest_patients(index(v), SUBJECT, 20, probes=vector_index.CELLS).select("subject_id", _rounded())
+
+
+# Recall is measured on at most so many patients, those of least hash.
+ASKED = 50
+
+
+@query(
+    "v4_index_recall",
+    f"""WITH n AS (SELECT least(count(*), {ASKED}) AS queries, (SELECT count(*) FROM vectors) AS stored FROM vectors WHERE subject_id % 50 = 0)
+        SELECT probes, CAST(queries AS BIGINT) AS queries, CAST(queries * least(20, stored - 1) AS BIGINT) AS expected, goal, TRUE AS reached
+        FROM n, (VALUES ({vector_index.PROBES}, 0.9::DOUBLE), ({vector_index.CELLS}, 1.0::DOUBLE)) AS p(probes, goal)""",
+)
+def v4_recall(v: Views) -> DataFrame:
+    """Recall at 20 against the exact search, by the number of cells probed: 0.9 with the default, 1 with all."""
+    stored = index(v)
+    asked = vector_index.asked_for(stored, F.col("subject_id") % 50 == 0).orderBy(F.xxhash64("query"), "query").limit(ASKED)
+    asked = written(asked, "asked")
+    # The exact answer: a bounded set of vectors beside all.
+    others = v.vectors.join(F.broadcast(asked), F.col("subject_id") != F.col("query"))
+    scores = others.select("query", "subject_id", cosine(F.col("vector"), F.col("unit")).alias("score")).where(F.round("score", similarity.SAME) < 1.0)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "subject_id"))
+    exact = written(scores.withColumn("place", place).where("place <= 20").select("query", "subject_id"), "exact")
+    out = None
+    for probes, goal in ((vector_index.PROBES, 0.9), (vector_index.CELLS, 1.0)):
+        one = vector_index.recall(vector_index.search(stored, asked, 20, probes), exact)
+        one = one.crossJoin(F.broadcast(asked.agg(F.count("*").alias("queries")))).select(
+            F.lit(probes).alias("probes"), "queries", "expected", F.lit(goal).alias("goal"), (F.col("recall") >= goal).alias("reached")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(
