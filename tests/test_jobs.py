@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wardgraph.functions import notes as N
 from wardgraph.operators import embedding
 from wardgraph.plans import build, cohort, notes, pipeline
-from wardgraph.sources import files, schemas
+from wardgraph.sources import files, schemas, store
 from wardgraph.streaming import arrivals
 
 NOTE = """Name:  ___                     Unit No:   ___
@@ -217,7 +217,7 @@ def test_cut_and_pipeline(spark, delivered, tmp_path):
     assert pipeline.run(spark, cut, target) == {"patients": 2}
     vectors = spark.read.parquet(f"{target}/vectors/text")
     assert {r.subject_id for r in vectors.collect()} == {1, 2}
-    edges = spark.read.parquet(f"{target}/graph/edges").count()
+    edges = store.read(spark, f"{target}/graph/edges").count()
     assert spark.read.parquet(f"{target}/vectors/diagnoses").head()["all_diagnoses"][0] == "Sepsis, severe"
     # Nothing new: nothing is added.
     assert pipeline.run(spark, cut, target) == {"patients": 0}
@@ -226,7 +226,7 @@ def test_cut_and_pipeline(spark, delivered, tmp_path):
     cohort.cut(spark, delivered, more, spark.createDataFrame([("1",), ("2",), ("3",)], "subject_id string"))
     assert pipeline.run(spark, more, target) == {"patients": 1}
     assert spark.read.parquet(f"{target}/vectors/text").count() == 3
-    assert spark.read.parquet(f"{target}/graph/edges").count() > edges
+    assert store.read(spark, f"{target}/graph/edges").count() > edges
 
 
 def test_a_broken_run_is_taken_up(spark, delivered, tmp_path, monkeypatch):
@@ -257,7 +257,8 @@ def test_a_broken_run_is_taken_up(spark, delivered, tmp_path, monkeypatch):
     tables = ["graph/edges", "vectors/text", "vectors/diagnoses", "notes/documents", "notes/flat"]
     tables += [f"graph/nodes/{p.name}" for p in (tmp_path / "whole/graph/nodes").iterdir()]
     for table in tables:
-        one, other = (sorted(map(str, spark.read.parquet(f"{t}/{table}").collect())) for t in (broken, whole))
+        load = store.read if table.startswith("graph/") else lambda s, path: s.read.parquet(path)
+        one, other = (sorted(map(str, load(spark, f"{t}/{table}").collect())) for t in (broken, whole))
         assert one == other, table
 
 

@@ -18,7 +18,7 @@ from wardgraph.functions.numbers import out_of_range
 from wardgraph.functions.times import format_ts, period_string
 from wardgraph.operators import bundles, diagnoses, flow, graph, intervals, lookups, nodes
 from wardgraph.session import written
-from wardgraph.sources import files
+from wardgraph.sources import files, store
 
 EDGE_COLUMNS = [*graph.EDGE_KEY, "subject_id", "props"]
 
@@ -173,8 +173,14 @@ def save_graph(g: Graph, path: str, mode: str = "overwrite") -> None:
     """Write the graph: one table per label, and the edges in one folder per relation.
 
     ``append`` adds the nodes and edges that are not stored yet, by key, so a save
-    that was broken off can be repeated.
+    that was broken off can be repeated. ``merge`` does so too, and gives stored
+    nodes and edges their new properties; it reads only the buckets it changes.
     """
+    if mode == "merge":
+        for label, frame in g.frames.items():
+            store.merge(frame, f"{path}/nodes/{label}", ["key"])
+        store.merge(g.edges(), f"{path}/edges", graph.EDGE_KEY)
+        return
     if mode == "append":
         for label, frame in g.frames.items():
             files.append_new(frame, f"{path}/nodes/{label}", ["key"])
@@ -187,8 +193,12 @@ def save_graph(g: Graph, path: str, mode: str = "overwrite") -> None:
 
 def load_graph(spark: SparkSession, path: str, labels: Iterable[str]) -> Graph:
     """The graph as written by ``save_graph``."""
-    g = Graph({label: spark.read.parquet(f"{path}/nodes/{label}") for label in labels})
-    g.edge_frames.append(spark.read.parquet(f"{path}/edges").select(*EDGE_COLUMNS))
+
+    def table(place: str) -> DataFrame:
+        return store.read(spark, place) if store.exists(spark, place) else spark.read.parquet(place)
+
+    g = Graph({label: table(f"{path}/nodes/{label}") for label in labels})
+    g.edge_frames.append(table(f"{path}/edges").select(*EDGE_COLUMNS))
     return g
 
 

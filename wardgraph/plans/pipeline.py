@@ -18,7 +18,7 @@ from wardgraph.operators import embedding, quality, tracker
 from wardgraph.plans import notes
 from wardgraph.plans.build import build, save_graph
 from wardgraph.session import prepare, written
-from wardgraph.sources import files, schemas
+from wardgraph.sources import files, schemas, store
 
 GRAPH_STEP = "graph"
 TEXT_STEP = "text_embeddings"
@@ -83,7 +83,7 @@ def stored_frames(spark: SparkSession, target: str) -> dict[str, DataFrame]:
     found = {}
     for label in ["Patient", *{label for label, _ in embedding.SOURCES.values()}]:
         try:
-            found[label] = spark.read.option("mergeSchema", True).parquet(f"{target}/graph/nodes/{label}")
+            found[label] = store.read(spark, f"{target}/graph/nodes/{label}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -105,7 +105,7 @@ def graph_step(tables: dict[str, DataFrame], target: str, pending: DataFrame) ->
         files.append_new(mine["notes_flat"], f"{target}/notes/flat", ["note_id"])
     made = build(mine)
     made.edge_frames = [quality.delete_violations(made.edges())]
-    save_graph(made, f"{target}/graph", mode="append")
+    save_graph(made, f"{target}/graph", mode="merge")
 
 
 def text_step(frames: dict[str, DataFrame], target: str, embedder, pending: DataFrame) -> None:

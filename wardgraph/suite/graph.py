@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from wardgraph.functions.times import format_ts
 from wardgraph.operators import graph, journey, nodes, quality
 from wardgraph.plans.build import Graph, build
+from wardgraph.session import shared_dir
+from wardgraph.sources import store
 from wardgraph.suite.flow import FIRST_SQL
 from wardgraph.suite.registry import query
 from wardgraph.suite.sql_views import VIEWS, gap, ts
@@ -158,6 +160,46 @@ def s9(v: Views) -> DataFrame:
     return kept.select("src_label", "src_key", "rel", "dst_label", "dst_key", "subject_id")
 
 
+@query(
+    "s8_graph_node_merge",
+    """WITH stored AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_custkey AS subject_id, c_mktsegment AS segment, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 0),
+       given AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_custkey AS subject_id, lower(c_mktsegment) AS segment, c_nationkey AS nation FROM customer WHERE c_custkey % 5 = 0)
+       SELECT coalesce(t.key, s.key) AS key, coalesce(s.subject_id, t.subject_id) AS subject_id,
+              CASE WHEN s.key IS NOT NULL THEN s.segment ELSE t.segment END AS segment, t.balance, s.nation
+       FROM stored t FULL JOIN given s ON t.key = s.key""",
+)
+def s8_merge(v: Views) -> DataFrame:
+    """Stored nodes take new properties and keep the others; a merge that broke off and is repeated changes nothing else."""
+    path = f"{shared_dir(v.spark)}/nodes-{uuid.uuid4().hex}"
+    key = F.col("c_custkey").cast("string").alias("key")
+    who = v.table("customer")
+    first = who.where(F.col("c_custkey") % 3 != 0).select(key, F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    store.merge(first, path, ["key"])
+    given = who.where(F.col("c_custkey") % 5 == 0).select(key, F.col("c_custkey").alias("subject_id"), F.lower("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    # Written, but never made valid: what a run leaves that breaks off before its manifest.
+    store.prepare_merge(given.withColumn("segment", F.lit("broken off")), path, ["key"])
+    for _ in range(2):
+        store.merge(given, path, ["key"])
+    return store.read(v.spark, path).select("key", "subject_id", "segment", "balance", "nation")
+
+
+@query(
+    "s9_graph_edge_merge",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS src_key, 'SUPPLIED' AS rel, CAST(l_suppkey AS VARCHAR) AS dst_key,
+              CASE WHEN l_orderkey % 2 = 0 THEN 'later' ELSE 'first' END AS state
+       FROM lineitem WHERE l_orderkey % 4 <> 3 OR l_orderkey % 2 = 0 GROUP BY l_orderkey, l_suppkey""",
+)
+def s9_merge(v: Views) -> DataFrame:
+    """Edges are told by both ends and their kind: a second delivery updates those it has and adds new ones."""
+    path = f"{shared_dir(v.spark)}/edges-{uuid.uuid4().hex}"
+    keys = ["src_key", "rel", "dst_key"]
+    ends = v.table("lineitem").select("l_orderkey", F.col("l_orderkey").cast("string").alias("src_key"), F.lit("SUPPLIED").alias("rel"), F.col("l_suppkey").cast("string").alias("dst_key"))
+    first = ends.where("l_orderkey % 4 <> 3 AND l_orderkey % 8 <> 2").select(*keys, F.lit("first").alias("state"))
+    store.merge(first, path, keys)
+    store.merge(ends.where("l_orderkey % 2 = 0").select(*keys, F.lit("later").alias("state")), path, keys)
+    return store.read(v.spark, path).select(*keys, "state")
+
+
 @query("s11_graph_scan_by_label", f"SELECT key, subject_id, {ts('ts')} AS ts FROM g_nodes WHERE label = 'Discharge'")
 def s11(v: Views) -> DataFrame:
     return graph_nodes(v).where(F.col("label") == "Discharge").select("key", "subject_id", _text("ts"))
