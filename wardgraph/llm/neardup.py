@@ -178,7 +178,8 @@ def _rare_pairs(crowd: DataFrame, links: _Links) -> DataFrame:
     Sets of similarity s share one of their n - ceil(s n) + 1 rarest shingles, in
     any order that holds for all. A shingle's members are compared only with those
     outside the component that has most of them, and only if neither the shingles
-    they share with the crowd nor their bitmaps rule a link out.
+    they share with the crowd, nor the places of the shingle in both, nor their
+    bitmaps rule a link out.
     """
     percent = links.percent
     sets = written(links.sets(crowd.select("class")).join(crowd, "class"), "crowd-sets")
@@ -189,12 +190,14 @@ def _rare_pairs(crowd: DataFrame, links: _Links) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("class").orderBy("k", "shingle"))
     shared = F.count(F.when(F.col("k") > 1, 1)).over(Window.partitionBy("class"))
     first = each.join(written(counts, "shingle-counts"), "shingle").withColumn("place", place).withColumn("shared", shared)
-    first = written(first.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("k > 1").select("shingle", "class", "component", "n", "shared"), "prefixes")
+    first = written(first.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("k > 1").select("shingle", "class", "component", "n", "shared", "place"), "prefixes")
     first = first.join(sets.select("class", "bits"), "class")
     most = first.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("parts"))
-    minor = first.join(most.filter("parts > 1"), "shingle").filter("component <> most").select("shingle", F.col("class").alias("x"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("shared").alias("x_shared"), F.col("bits").alias("x_bits"))
+    minor = first.join(most.filter("parts > 1"), "shingle").filter("component <> most").select("shingle", F.col("class").alias("x"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("shared").alias("x_shared"), F.col("place").alias("x_place"), F.col("bits").alias("x_bits"))
     most_common = F.least("shared", "x_shared")
     can_link = 100 * most_common >= percent * (F.col("n") + F.col("m") - most_common)
+    # At the first shingle that two sets share no more than those after it can follow.
+    can_link = can_link & ((100 + percent) * (1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("x_place"))) >= percent * (F.col("n") + F.col("m")))
     apart = F.aggregate(F.zip_with("bits", "x_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     can_link = can_link & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m")))
     pairs = minor.join(first, (minor["shingle"] == first["shingle"]) & (F.col("c") != F.col("component")) & can_link)
