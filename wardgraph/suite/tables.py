@@ -130,6 +130,22 @@ def s4(v: Views) -> DataFrame:
     return v.once("ingest", ingest)
 
 
+@query(
+    "s4_note_csv",
+    "SELECT doc_id, length(text) AS chars, md5(text) AS digest, lang FROM documents",
+)
+def s4_notes(v: Views) -> DataFrame:
+    """Texts with line breaks and quotes as one CSV file, read in splits."""
+
+    def deliver():
+        target = _path(v, "texts.csv")
+        files.csv_sink(v.table("documents").select("lang", "text", "doc_id").coalesce(1), target)
+        return files.notes_csv_scan(v.spark, target, "doc_id bigint, text string, lang string")
+
+    read = v.once("texts_csv", deliver)
+    return read.select("doc_id", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"), "lang")
+
+
 @query(
     "s5_csv_sink_append",
     "SELECT o_orderstatus AS status, count(*) * 2 AS n FROM orders GROUP BY o_orderstatus",
