@@ -1,18 +1,21 @@
 """Chat formatting: layouts told by schema fingerprints, one template, exact loss spans.
 
-A fingerprint is the hash of a record's nested field paths, whatever the types of
-their values. ``LAYOUTS`` declares for each known layout its paths and where roles
-and texts stand; it is selected by fingerprint, per table (``table_turns``, from the
-schema) or per JSON record (``record_turns``). Either gives canonical turns
-(conv_id, turn, role, text). ``format_turns`` writes a conversation's turns in order
-between the template's marks, escapes control strings inside texts so that they can
-be read back, and lists the spans of assistant texts in code points.
+A fingerprint is the hash of nested field paths, whatever the types of their values.
+``LAYOUTS`` declares for each known layout its paths and where roles and texts stand.
+Of a table (``table_turns``, by its schema) or a JSON record (``record_turns``) those
+paths are hashed that a layout names; further fields change nothing. Either gives
+canonical turns (conv_id, turn, role, text). ``format_turns`` writes a conversation's
+turns in order between the template's marks, escapes control strings inside texts so
+that they can be read back, and lists the spans of assistant texts in code points.
 
 Defined cases: null texts and roles are empty; null conversation ids form one
-conversation; turns of equal number are ordered by role and text; a record whose
-fingerprint no layout has (or that is no JSON object) keeps its row with null turns
-in ``record_turns(..., keep_unknown=True)`` and is left out otherwise; an empty
-table gives an empty table; other columns don't matter to ``format_turns``.
+conversation; turns of equal number are ordered by role and text, repeated turns stay;
+if several layouts fit, the one that names most fields is taken, then the first; a
+record without a fitting layout, without turns or that is no JSON object keeps one row
+without turn, with the reason in ``unread``, and ``readable`` leaves it out; a table
+without a fitting layout is an error; an optional field that is null gives no turn;
+an empty table gives an empty table; other
+columns, of whatever names, are left aside. Texts may be of any length.
 """
 
 from __future__ import annotations
@@ -65,25 +68,9 @@ LAYOUTS = (
 )
 
 
-def shape(paths: list[str]) -> str:
-    """Nested paths as one string, in order: ``<a,list:[<b,c>]>``."""
-    heads: dict[str, list[str]] = {}
-    for path in sorted(set(paths)):
-        m = re.match(r"([^.\[]+)((?:\[\])*)\.?(.*)", path, re.S)
-        heads.setdefault(m[1] + m[2], []).append(m[3])
-    parts = []
-    for head, rests in heads.items():
-        name, depth = head.rstrip("[]"), head.count("[]")
-        inner = shape([r for r in rests if r]) if any(rests) else ""
-        if depth or inner:
-            parts.append(f"{name}:{'[' * depth}{inner}{']' * depth}")
-        else:
-            parts.append(name)
-    return f"<{','.join(sorted(parts))}>"
-
-
 def fingerprint(paths: list[str]) -> str:
-    return hashlib.md5(shape(paths).encode()).hexdigest()
+    """Hash of nested field paths, each once and in order."""
+    return hashlib.md5("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -95,15 +82,36 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def record_fingerprint(value: Column) -> Column:
-    """Fingerprint of a variant: its schema without the types of values."""
-    kinds = F.schema_of_variant(value)
-    bare = F.regexp_replace(kinds, r": (?!OBJECT<|ARRAY<)[A-Z_]+(\(\d+,\s*\d+\))?", "")
-    bare = F.regexp_replace(bare, r"ARRAY<(?!OBJECT<|ARRAY<)[A-Z_]+(\(\d+,\s*\d+\))?>", "ARRAY<>")
-    # OBJECT<a, m: ARRAY<OBJECT<b>>> to <a,m:[<b>]>
-    for found, put in ((r"ARRAY<OBJECT<([^<>]*)>>", "[(\u0001$1\u0002)]"), (r"ARRAY<>", "[]"), (r"OBJECT<", "\u0001"), (r">", "\u0002"), (r"[()]", ""), (", ", ","), (": ", ":"), ("\u0001", "<"), ("\u0002", ">")):
-        bare = F.regexp_replace(bare, found, put)
-    return F.md5(bare)
+def record_paths(value: Column, layouts) -> Column:
+    """Those paths of a variant that some layout names, sorted; null unless it is an object."""
+    named = sorted({p for x in layouts for p in (*x.paths, *x.optional)})
+    fields = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+
+    def held(path: str) -> Column:
+        if "[]." in path:
+            name, key = path.split("[].", 1)
+            items = F.try_variant_get(value, f"$.{name}", "array<map<string,variant>>")
+            return F.exists(items, lambda x: F.array_contains(F.map_keys(x), key))
+        *above, key = path.split(".")
+        own = F.map_keys(F.try_variant_get(value, "$." + ".".join(above), "map<string,variant>")) if above else fields
+        return F.array_contains(own, key)
+
+    return F.when(fields.isNotNull(), F.filter(F.array(*[F.when(held(p), F.lit(p)) for p in named]), lambda p: p.isNotNull()))
+
+
+def record_layout(paths: Column, layouts) -> Column:
+    """Number of the layout whose fingerprint the record's paths have, among the paths it names; null if none.
+
+    Of several the one that names most of the record's paths, then the first.
+    """
+    found = []
+    for n, layout in enumerate(layouts):
+        if not layout.items and not layout.turns:
+            continue
+        own = F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, (*layout.paths, *layout.optional)))))
+        known = F.md5(F.array_join(own, "\n")).isin(layout.fingerprints())
+        found.append(F.when(known, F.struct((-F.size(own)).alias("fewer"), F.lit(n).alias("n"))))
+    return F.array_min(F.array(*found))["n"]
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -125,18 +133,22 @@ def _turns(layout: Layout, get_text, get_items) -> Column:
     return F.filter(turns, lambda x, i: F.get(there, i))
 
 
-def _rows(df: DataFrame, keep_unknown: bool = False) -> DataFrame:
-    explode = F.posexplode_outer if keep_unknown else F.posexplode
-    return df.select("conv_id", explode("turns").alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+def _rows(df: DataFrame, *more: str) -> DataFrame:
+    explode = F.posexplode_outer if more else F.posexplode
+    return df.select("conv_id", *more, explode("turns").alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text", *more)
 
 
 def table_turns(df: DataFrame, conv_id: str = "conv_id", layouts=LAYOUTS) -> DataFrame:
-    """Canonical turns of a table; the layout is selected by the fingerprint of its schema (the id column of other layouts aside)."""
-    own = fingerprint(schema_paths(df.schema))
-    without_id = fingerprint(schema_paths(T.StructType([f for f in df.schema.fields if f.name != conv_id])))
-    layout = next((x for x in layouts if own in x.fingerprints() or without_id in x.fingerprints()), None)
-    if layout is None:
-        raise ValueError(f"no layout has the fields {sorted(schema_paths(df.schema))}")
+    """Canonical turns of a table; the layout is selected by the fingerprint of those paths of its schema that it names."""
+    paths = schema_paths(df.schema)
+    fits = []
+    for n, layout in enumerate(layouts):
+        own = [p for p in paths if p in (*layout.paths, *layout.optional)]
+        if fingerprint(own) in layout.fingerprints():
+            fits.append((-len(own), n, layout))
+    if not fits:
+        raise ValueError(f"no layout has the fields {sorted(paths)}")
+    layout = min(fits)[2]
     if not layout.items and not layout.turns:
         return df.select(F.col(conv_id).alias("conv_id"), "turn", "role", "text")
 
@@ -144,27 +156,38 @@ def table_turns(df: DataFrame, conv_id: str = "conv_id", layouts=LAYOUTS) -> Dat
         name, role, text = at
         return F.transform(F.col(name), lambda x: F.struct(x[role].cast("string").alias("role"), x[text].cast("string").alias("text")))
 
-    return _rows(df.select(F.col(conv_id).alias("conv_id"), _turns(layout, lambda p: F.col(p).cast("string") if p in df.columns else F.lit(None).cast("string"), items).alias("turns")))
+    return _rows(df.select(F.col(conv_id).alias("conv_id"), _turns(layout, lambda p: F.col(p).cast("string") if p in paths else F.lit(None).cast("string"), items).alias("turns")))
+
 
+def record_turns(df: DataFrame, record: str = "record", conv_id: str = "conv_id", layouts=LAYOUTS, keep_unknown: bool = True) -> DataFrame:
+    """Canonical turns of JSON records of mixed layouts; each record's fingerprint selects its mapping.
 
-def record_turns(df: DataFrame, record: str = "record", conv_id: str = "conv_id", layouts=LAYOUTS, keep_unknown: bool = False) -> DataFrame:
-    """Canonical turns of JSON records of mixed layouts; each record's fingerprint selects its mapping."""
+    A record that gives no turns is one row without turn, and ``unread`` says why; ``unread`` is null in all other rows.
+    """
     value = F.try_parse_json(F.col(record))
-    read = df.select(F.col(conv_id).alias("conv_id"), value.alias("value")).withColumn("print", record_fingerprint(F.col("value")))
+    read = df.select(F.col(conv_id).alias("conv_id"), value.alias("value")).withColumn("paths", record_paths(F.col("value"), layouts))
+    read = read.withColumn("layout", record_layout(F.col("paths"), layouts))
 
     def text(path):
         return F.try_variant_get("value", f"$.{path}", "string")
 
     def items(at):
         name, role, text = at
-        found = F.try_variant_get("value", f"$.{name}", f"array<struct<{role}:string,{text}:string>>") if role != "from" else F.try_variant_get("value", f"$.{name}", f"array<struct<`{role}`:string,{text}:string>>")
+        found = F.try_variant_get("value", f"$.{name}", f"array<struct<`{role}`:string,`{text}`:string>>")
         return F.transform(found, lambda x: F.struct(x[role].alias("role"), x[text].alias("text")))
 
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for layout in layouts:
+    for n, layout in enumerate(layouts):
         if layout.items or layout.turns:
-            turns = F.when(F.col("print").isin(layout.fingerprints()), _turns(layout, text, items)).otherwise(turns)
-    return _rows(read.select("conv_id", turns.alias("turns")), keep_unknown)
+            turns = F.when(F.col("layout") == n, _turns(layout, text, items)).otherwise(turns)
+    why = F.when(F.col("paths").isNull(), "no JSON object").when(F.col("layout").isNull(), "no known layout").when(F.coalesce(F.size("turns"), F.lit(0)) <= 0, "no turns")
+    rows = _rows(read.withColumn("turns", turns).withColumn("unread", why), "unread")
+    return rows if keep_unknown else rows.where(F.col("unread").isNull())
+
+
+def readable(turns: DataFrame) -> DataFrame:
+    """The turns of ``record_turns`` that were read, as ``format_turns`` takes them."""
+    return turns.where(F.col("unread").isNull()).drop("unread")
 
 
 def escape(text: Column) -> Column:

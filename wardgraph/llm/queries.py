@@ -215,7 +215,7 @@ def op7(table):
     """Every conversation, formatted and read back."""
     rows = table("conversations").select("conv_id", "turn", "role", "text")
     odd = rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(json.dumps(ODD)).alias("record"))
-    turns = chat.table_turns(rows).unionByName(chat.record_turns(odd))
+    turns = chat.table_turns(rows).unionByName(chat.readable(chat.record_turns(odd)))
     return chat.read_back(chat.format_turns(turns))
 
 
