@@ -43,6 +43,12 @@ def first_of(c: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[find(c, p) for p in patterns])
 
 
+def leftmost(c: Column, patterns: list[str]) -> Column:
+    """Value of the match that begins first, whichever pattern it is of; of equal places the first pattern's."""
+    either = "|".join(f"(?:{p})" for p in patterns)
+    return F.coalesce(*[find(c, either, group=k + 1) for k in range(len(patterns))])
+
+
 def _heading_forms(start: str) -> list[str]:
     return list(dict.fromkeys([start, start.replace(":", ""), start.replace(":", ".*:")]))
 
@@ -189,7 +195,7 @@ def _vitals(text: Column) -> Column:
         return (
             F.when(compact, F.regexp_extract(text, R.COMPACT_VITALS, compact_group))
             .when(vs, F.replace(F.regexp_extract(text, "(?i)" + R.VS_VITALS, vs_group), F.lit(" "), F.lit("")))
-            .otherwise(first_of(text, R.SINGLE_VITALS[name]))
+            .otherwise(leftmost(text, R.SINGLE_VITALS[name]))
         )
 
     rate = pick(4, 4, "Respiratory Rate")

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType
+from pyspark.sql.types import ArrayType, FloatType, LongType, StringType
 
 from wardgraph.functions import text as tx
 from wardgraph.functions.vectors import mean_vector
@@ -185,14 +185,86 @@ def patient_text(patients: DataFrame, items: DataFrame) -> DataFrame:
     return patients.join(whole, "subject_id", "left").select("subject_id", tx.remove_stop_words(full).alias("text"))
 
 
+def token_ends(count: Callable[[str], int]) -> Callable[[Column], Column]:
+    """Running token counts of the words of a list; ``count`` says how many tokens a word is to the model.
+
+    A word is counted once a batch, however often it occurs.
+    """
+
+    def ends(lists: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def one(words) -> np.ndarray:
+            for word in words:
+                if word not in known:
+                    known[word] = count(word)
+            return np.cumsum([known[word] for word in words], dtype="int64")
+
+        return lists.map(one, na_action="ignore")
+
+    return F.pandas_udf(ends, ArrayType(LongType()))
+
+
+# Words of a list that are laid out on chunks together.
+PART_WORDS = 512
+
+
+def token_chunks(
+    worded: DataFrame, key: str, size: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS
+) -> DataFrame:
+    """(key, chunk_no, chunk): chunks of at most ``size`` tokens, whole words, each ``overlap`` tokens into the one before.
+
+    ``worded`` has the pieces of the texts: key, start (tokens before the piece),
+    words, ends (running token counts) and total (tokens of the text). Chunk k
+    holds the words that lie within tokens k * step to k * step + size. Where a
+    word lies follows from the sums alone, so no chunk waits for the one before
+    and no text is ever whole. A word of more tokens than ``overlap`` may fit no
+    chunk; it stays whole in the one it begins in, which is then longer than
+    ``size``. Numbers rise along the text; a word longer than a step leaves some out.
+    """
+    step = size - overlap
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 1), F.lit(PART_WORDS)))
+    parts = worded.where(F.size("words") > 0).select("*", at.alias("at"))
+    upto = F.slice("ends", F.col("at") + 1, F.lit(PART_WORDS))
+    before = F.when(F.col("at") > 0, F.get("ends", F.col("at") - 1)).otherwise(F.lit(0))
+    begins = F.slice(F.concat(F.array(before), upto), F.lit(1), F.size(upto))
+    parts = parts.select(
+        key, "total", (F.col("start") + before).alias("place"), F.slice("words", F.col("at") + 1, F.lit(PART_WORDS)).alias("words"),
+        F.transform(begins, lambda x: x + F.col("start")).alias("begins"), F.transform(upto, lambda x: x + F.col("start")).alias("ends"),
+    )
+    final = F.greatest(F.lit(0), F.ceil((F.col("total") - size) / F.lit(step)))
+
+    def last(begin: Column) -> Column:
+        return F.least(final, F.floor(begin / F.lit(step)))
+
+    def first(begin: Column, end: Column) -> Column:
+        return F.least(last(begin), F.greatest(F.lit(0), F.ceil((end - size) / F.lit(step))))
+
+    placed = F.arrays_zip("words", "begins", "ends")
+    placed = F.transform(placed, lambda w: F.struct(w["words"].alias("w"), first(w["begins"], w["ends"]).alias("a"), last(w["begins"]).alias("b")))
+    laid = parts.select(key, "place", placed.alias("placed"))
+    laid = laid.withColumn("chunk_no", F.explode(F.sequence(F.get("placed", F.lit(0))["a"], F.element_at("placed", -1)["b"])))
+    mine = F.filter("placed", lambda w: (w["a"] <= F.col("chunk_no")) & (w["b"] >= F.col("chunk_no")))
+    laid = laid.select(key, "chunk_no", "place", F.transform(mine, lambda w: w["w"]).alias("w")).where(F.size("w") > 0)
+    listed = F.array_sort(F.collect_list(F.struct("place", "w")))
+    return laid.groupBy(key, "chunk_no").agg(
+        F.array_join(F.flatten(F.transform(listed, lambda p: p["w"])), " ").alias("chunk")
+    )
+
+
 def patient_chunks(
-    patients: DataFrame, items: DataFrame, save: Callable[[DataFrame, str], DataFrame] = written
+    patients: DataFrame,
+    items: DataFrame,
+    save: Callable[[DataFrame, str], DataFrame] = written,
+    count: Callable[[str], int] | None = None,
 ) -> DataFrame:
     """(subject_id, chunk_no, chunk): the chunks of ``patient_text``, put together from the items.
 
     No text is ever whole: each item knows how many words come before it, goes
     to the one or two chunks it falls into, and a chunk gathers at most
     ``CHUNK_WORDS`` words. A patient with very many items is many small groups.
+    With ``count``, the tokens of a word, chunks are bounded by tokens in place of
+    words; see ``token_chunks``.
     """
     about = patients.select("subject_id", F.lit(-1).alias("rank"), F.lit("").alias("item"), _about(patients).alias("body"))
     rows = about.unionByName(items.select("subject_id", "rank", "item", F.col("item").alias("body")))
@@ -211,9 +283,14 @@ def patient_chunks(
     piece = F.concat(F.when(opens, F.coalesce(_heading(), F.lit(""))).otherwise(""), F.col("body"), mark)
     worded = placed.select("subject_id", "rank", "item", tx.kept_words(piece).alias("words"))
     # Stored, because three readers follow and the text work is the costly part.
-    worded = save(worded.withColumn("n", F.size("words").cast("bigint")).where(F.col("n") > 0), "words")
+    worded = worded.withColumn("n", F.size("words").cast("bigint")).where(F.col("n") > 0)
+    if count:
+        worded = worded.withColumn("ends", token_ends(count)(F.col("words"))).withColumn("n", F.element_at("ends", -1))
+    worded = save(worded, "words")
     counted = along(worded, ordered.total_before("start", F.col("n")))
     totals = worded.groupBy("subject_id").agg(F.sum("n").alias("total"))
+    if count:
+        return token_chunks(counted.join(totals, "subject_id"), "subject_id")
 
     step = CHUNK_WORDS - OVERLAP_WORDS
     start, n = F.col("start"), F.col("n")
@@ -294,14 +371,23 @@ def embed_chunks(chunks: DataFrame, key: str, embedder: Callable[[Column], Colum
 
 
 def embed(
-    texts: DataFrame, key: str, text: str, embedder: Callable[[Column], Column] | None = None
+    texts: DataFrame,
+    key: str,
+    text: str,
+    embedder: Callable[[Column], Column] | None = None,
+    count: Callable[[str], int] | None = None,
 ) -> DataFrame:
-    """Vectors of texts that are rows already, cut into chunks of words.
+    """Vectors of texts that are rows already, cut into chunks of words, or of tokens with ``count``.
 
     Texts without words have no vector and are left out. The chunks are spread
     over tasks before they are encoded, so one very long text is not one task.
     """
     worded = texts.where(F.trim(F.col(text)) != "")
+    if count:
+        words = worded.select(key, F.filter(F.split(F.col(text), "\\s+"), lambda w: w != "").alias("words"))
+        ends = words.withColumn("ends", token_ends(count)(F.col("words")))
+        pieces = ends.withColumn("total", F.element_at("ends", -1)).withColumn("start", F.lit(0).cast("bigint"))
+        return embed_chunks(token_chunks(pieces, key), key, embedder)
     chunks = worded.select(
         key, F.posexplode(tx.chunk_by_words(F.col(text), CHUNK_WORDS, OVERLAP_WORDS)).alias("chunk_no", "chunk")
     )

@@ -320,6 +320,34 @@ def p18_patients(v: Views) -> DataFrame:
     return patient_chunks(v)
 
 
+# The counter of the check: four characters are a token.
+CHARS_PER_TOKEN = 4
+
+
+def character_tokens(word: str) -> int:
+    return -(-len(word) // CHARS_PER_TOKEN)
+
+
+@query(
+    "p18_token_chunks",
+    f"""WITH words AS (SELECT subject_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (
+            SELECT subject_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM patient_texts)),
+        counted AS (SELECT *, CAST(ceil(length(word) / {CHARS_PER_TOKEN}.0) AS BIGINT) AS t FROM words),
+        placed AS (SELECT *, sum(t) OVER (PARTITION BY subject_id ORDER BY i) AS e, sum(t) OVER (PARTITION BY subject_id) AS total FROM counted),
+        spread AS (SELECT *, least(greatest(0, ceil((total - {embedding.CHUNK_WORDS}) / {embedding.CHUNK_WORDS - embedding.OVERLAP_WORDS}.0)),
+            floor((e - t) / {embedding.CHUNK_WORDS - embedding.OVERLAP_WORDS}.0)) AS b,
+            greatest(0, ceil((e - {embedding.CHUNK_WORDS}) / {embedding.CHUNK_WORDS - embedding.OVERLAP_WORDS}.0)) AS a FROM placed),
+        laid AS (SELECT *, unnest(range(CAST(least(a, b) AS BIGINT), CAST(b AS BIGINT) + 1)) AS chunk_no FROM spread)
+        SELECT subject_id, chunk_no, string_agg(word, ' ' ORDER BY i) AS chunk, CAST(sum(t) AS BIGINT) AS tokens FROM laid GROUP BY subject_id, chunk_no""",
+)
+def p18_tokens(v: Views) -> DataFrame:
+    """Chunks of patient texts bounded by tokens, which the counter gives word by word."""
+    counts = v.flow_admissions.groupBy("subject_id").agg(F.count(F.lit(1)).alias("total_number_of_admissions"))
+    chunks = embedding.patient_chunks(v.patients.join(counts, "subject_id", "left"), text_items(v), count=character_tokens)
+    tokens = F.aggregate(F.split("chunk", " "), F.lit(0).cast("bigint"), lambda n, w: n + F.ceil(F.length(w) / F.lit(CHARS_PER_TOKEN)))
+    return chunks.select("subject_id", "chunk_no", "chunk", tokens.alias("tokens"))
+
+
 @query(
     "v1_patient_embedding",
     f"""WITH {hashed('patient_texts', 'subject_id', 384)}
