@@ -68,3 +68,10 @@ def test_lines_are_split_and_moved_by_split(spark, tmp_path):
     moved = [x for x in plan.splitlines() if "Exchange hashpartitioning(file" in x and "block" not in x and "of#" not in x]
     assert all("record" not in x and "value" not in x for x in moved)
     assert files.optional(spark, lambda: files.notes_csv_scan(spark, str(tmp_path / "none"), SCHEMA), SCHEMA).collect() == []
+
+
+def test_text_files_in_line_order(spark, tmp_path):
+    lines = spark.createDataFrame([(k % 7, k, f"{k % 7} {k:04}") for k in range(500)], "subject_id int, n int, line string").repartition(5)
+    files.text_sink(lines, str(tmp_path / "report"), ["subject_id", "n"], "line")
+    found = [x for f in sorted((tmp_path / "report").glob("part-*")) for x in f.read_text().splitlines()]
+    assert found == sorted(found) and len(found) == 500

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardgraph.operators import graph
 from wardgraph.operators.graph import EDGE_KEY
 
 # Groups of labels that must not be linked to one another.
@@ -122,6 +123,20 @@ def connected_per_patient(edges: DataFrame) -> DataFrame:
     return nodes.groupBy("subject_id").agg(F.count(F.lit(1)).alias("connected_nodes"))
 
 
+def complete_graphs(edges: DataFrame, patients: DataFrame, steps: int = 3) -> DataFrame:
+    """(root, has_labs): patients whose graph has an event within some steps, and whether it has lab results.
+
+    ``patients`` has ``root``, the address of a patient's node. A patient that is
+    not in the result has not been loaded whole.
+    """
+    near = graph.within(edges, patients, steps)
+    label = F.substring_index("node", "|", 1)
+    marked = near.groupBy("root").agg(
+        F.max(label == "LabEvents").alias("has_labs"), F.max(label.isin(STAY_LABELS)).alias("_events")
+    )
+    return marked.where("_events").drop("_events")
+
+
 def report(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     """Connectivity per label, rule violations, and edges whose end is missing."""
     known = nodes.select("label", "key")

@@ -11,7 +11,7 @@ from wardgraph.functions.times import format_ts
 from wardgraph.operators import graph, journey, nodes, quality
 from wardgraph.plans.build import Graph, build
 from wardgraph.session import shared_dir
-from wardgraph.sources import store
+from wardgraph.sources import files, store
 from wardgraph.suite.flow import FIRST_SQL
 from wardgraph.suite.registry import query
 from wardgraph.suite.sql_views import VIEWS, gap, ts
@@ -229,6 +229,19 @@ def s15(v: Views) -> DataFrame:
     return journey.report_lines(journey.timeline(journey.events(graph_nodes(v)))).drop("ts")
 
 
+@query(
+    "s15_text_files",
+    f"""SELECT '[' || {ts('ts')} || '] ' || label || ' ' || key || ' (' || strftime(ts, '%B %d, %Y at %I:%M %p') || ')' AS line
+        FROM g_nodes WHERE ts IS NOT NULL""",
+)
+def s15_files(v: Views) -> DataFrame:
+    """The text report as it lies in its files."""
+    report = journey.report_lines(journey.timeline(journey.events(graph_nodes(v))))
+    target = f"{shared_dir(v.spark)}/report-{uuid.uuid4().hex}"
+    files.text_sink(report, target, ["subject_id", "ts", "label", "key"], "line")
+    return v.spark.read.text(target).withColumnRenamed("value", "line")
+
+
 @query(
     "f11_label_exclusion",
     "SELECT label, count(*) AS nodes FROM g_nodes WHERE label NOT IN ('LabEvents') GROUP BY label",
@@ -491,12 +504,7 @@ def u5(v: Views) -> DataFrame:
 )
 def u9(v: Views) -> DataFrame:
     """Patients with at least one event within three steps."""
-    near = graph.within(graph_edges(v), roots(v), 3)
-    label = F.substring_index("node", "|", 1)
-    marked = near.groupBy("root").agg(
-        F.max(label == "LabEvents").alias("has_labs"), F.max(label.isin(quality.STAY_LABELS)).alias("_events")
-    )
-    return marked.where("_events").drop("_events")
+    return quality.complete_graphs(graph_edges(v), roots(v))
 
 
 # --- journeys --------------------------------------------------------------------
