@@ -282,3 +282,10 @@ def test_first_orders_in_a_stream(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "mark")).start()
     q.awaitTermination()
     assert spark.table("rx_once").count() == 3
+
+
+def test_cut_reads_notes_whole(spark, delivered, tmp_path):
+    cut = str(tmp_path / "cut")
+    done = cohort.cut(spark, delivered, cut, spark.createDataFrame([("1",), ("2",), (None,)], "subject_id string"))
+    assert "note/discharge" in done
+    assert spark.read.parquet(f"{cut}/note/discharge").head()["text"].count("\n") == NOTE.count("\n")
