@@ -143,26 +143,32 @@ def _agreement(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def _candidate_sets(buckets: DataFrame, heads: DataFrame, keyed: DataFrame, size: int) -> DataFrame:
+    """(class, set, bits) of the classes in buckets, from their whole texts: the full set and a bitmap of its members.
+
+    Written once; every check of pairs reads it instead of the texts.
+    """
+    candidates = written(buckets.select("class").distinct(), "candidates")
+    ids = written(heads.join(counted(candidates), "class", "left_semi").select("doc", "body", "class"), "candidate-ids")
+    words = keyed.join(counted(ids), ["doc", "body"]).select("class", "words")
+    longs = T.ArrayType(T.LongType(), False)
+    schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("set", longs), T.StructField("bits", longs)])
+    return written(words.mapInArrow(_sets(size), schema).dropDuplicates(["class"]), "sets")
+
+
 class _Links:
     """What is known of the classes, and the check of pairs on full sets."""
 
-    def __init__(self, heads: DataFrame, keyed: DataFrame, size: int, percent: int):
-        self.heads, self.keyed, self.size, self.percent = heads, keyed, size, percent
-
-    def sets(self, classes: DataFrame) -> DataFrame:
-        """(class, set, bits) of classes, from their texts: the full set and a bitmap of its members."""
-        ids = written(self.heads.join(counted(classes), "class", "left_semi").select("doc", "body", "class"), "class-ids")
-        words = self.keyed.join(counted(ids), ["doc", "body"]).select("class", "words")
-        longs = T.ArrayType(T.LongType(), False)
-        schema = T.StructType([T.StructField("class", T.LongType()), T.StructField("set", longs), T.StructField("bits", longs)])
-        return written(words.mapInArrow(_sets(self.size), schema).dropDuplicates(["class"]), "sets")
+    def __init__(self, heads: DataFrame, sets: DataFrame, percent: int):
+        self.heads, self.sets, self.percent = heads, sets, percent
 
     def of(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of pairs (a, b)."""
         sides = [self.heads.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"s_{s}")) for s in "ab"]
         near = pairs.join(sides[0], "a").join(sides[1], "b").filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
         near = written(near.filter(2 * _agreement("s_a", "s_b") >= _VALUES).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n")), "near-pairs")
-        sets = self.sets(written(near.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "pair-ends")).drop("bits")
+        ends = written(near.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "pair-ends")
+        sets = self.sets.select("class", "set").join(counted(ends), "class", "left_semi")
         # A head has many partners: its set comes last, so that it is not carried with each.
         often = [near.groupBy(s).agg(F.count("*").alias(f"k_{s}")) for s in "ab"]
         a_heads = F.col("k_a") >= F.col("k_b")
@@ -182,7 +188,7 @@ def _rare_pairs(crowd: DataFrame, links: _Links) -> DataFrame:
     bitmaps rule a link out.
     """
     percent = links.percent
-    sets = written(links.sets(crowd.select("class")).join(crowd, "class"), "crowd-sets")
+    sets = written(links.sets.join(counted(crowd), "class"), "crowd-sets")
     each = written(sets.select("class", "component", F.size("set").alias("n"), F.explode("set").alias("shingle")), "crowd-shingles")
     counts = each.groupBy("shingle").agg(F.count("*").alias("k"))
     # A shingle that only one member has links nobody, but fills its place; those
@@ -224,7 +230,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
     met = tables.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     buckets = written(tables.join(written(met, "met"), "key"), "buckets")
 
-    links = _Links(heads, keyed, size, percent)
+    links = _Links(heads, _candidate_sets(buckets, heads, keyed, size), percent)
     joined, crowd = grow(buckets, links.of)
     if crowd.head(1):
         found = links.of(written(_rare_pairs(crowd, links), "rare-pairs"))
