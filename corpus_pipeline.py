@@ -16,8 +16,6 @@ from wardgraph.llm.queries import held_out, with_quality
 from wardgraph.session import prepare
 
 ORACLE_SQL = None
-# Words of a shingle in the near-duplicate stage.
-NEAR_SHINGLE = 5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +37,9 @@ def without_spread_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates, by the shingles and the similarity of the operator."""
     prepare(spark)
-    return neardup.one_of_each(docs, size=NEAR_SHINGLE)
+    return neardup.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
