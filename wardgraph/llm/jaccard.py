@@ -307,7 +307,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
     buckets = written(live.join(rank, "class"), "buckets")
 
     links = _Links(heads, keyed, size, percent)
-    joined, crowd = grow(buckets, links.of, rounds)
+    joined, crowd = grow(buckets, links.of, rounds, halving=False)
     if crowd.head(1):
         found = links.of(written(_undecided_pairs(crowd, links), "undecided-pairs"))
         joined = components(found.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))

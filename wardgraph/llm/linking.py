@@ -80,12 +80,14 @@ def _stars(located: DataFrame, number: int) -> DataFrame:
     return best.select("class", F.explode("h.head").alias("head")).select(F.least("head", "class").alias("a"), F.greatest("head", "class").alias("b")).distinct()
 
 
-def grow(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def grow(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, halving: bool = True) -> tuple[DataFrame, DataFrame]:
     """Components (node, component) by stars, and (class, component) of the members still to be decided.
 
     ``buckets`` has (key, class, rank), keys with several members, ``rank`` larger for
     members that more buckets hold; ``linked`` keeps the linked ones of pairs (a, b).
-    Buckets of two members, one pair each, are decided here.
+    Buckets of two members, one pair each, are decided here. With ``halving`` a further
+    round follows only one that closed at least half of the open rows; what a round
+    that is left out would have joined is among the members returned.
     """
     joined = components(buckets.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0))
 
@@ -93,6 +95,7 @@ def grow(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], rounds: i
         return components(found.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     located = written(_open(buckets.withColumn("component", F.col("class"))), "open")
+    left = located.count()
     tested = None
     for number in range(rounds):
         pairs = written(_stars(located, number), "stars")
@@ -102,7 +105,8 @@ def grow(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], rounds: i
             break
         joined = more(found)
         located = written(_open(placed(located, joined)), "open")
-        if not located.head(1):
+        before, left = left, located.count()
+        if not left or halving and 2 * left > before:
             break
     two = located.filter("k = 2").groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).select("a", "b").distinct()
     two = written(two if tested is None else two.join(tested, ["a", "b"], "left_anti"), "bucket-pairs")
