@@ -80,7 +80,7 @@ def _stars(located: DataFrame, number: int) -> DataFrame:
     return best.select("class", F.explode("h.head").alias("head")).select(F.least("head", "class").alias("a"), F.greatest("head", "class").alias("b")).distinct()
 
 
-def grow(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, halving: bool = True) -> tuple[DataFrame, DataFrame]:
+def grow(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, halving: bool = False) -> tuple[DataFrame, DataFrame]:
     """Components (node, component) by stars, and (class, component) of the members still to be decided.
 
     ``buckets`` has (key, class, rank), keys with several members, ``rank`` larger for
@@ -114,3 +114,8 @@ def grow(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame], rounds: i
         joined = more(linked(two))
         located = _open(placed(located, joined))
     return joined, written(located.filter("k > 2").select("class", "component").distinct(), "undecided")
+
+
+def grow_halving(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``grow`` with rounds only while they pay."""
+    return grow(buckets, linked, halving=True)

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from wardgraph.llm.common import ascii_lower, counted, plain, written
 from wardgraph.llm.hashing import M2, WordHashes, mixed, windows
-from wardgraph.llm.linking import components, grow, placed
+from wardgraph.llm.linking import components, grow_halving as grow, placed
 
 ROWS, HALVES = 4, 20
 # Longs of a set's bitmap; where two bitmaps differ, the sets do.
