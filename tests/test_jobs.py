@@ -155,6 +155,28 @@ def test_headings(spark):
     assert [r.s_a for r in got] == ["x", "y", "z", ""]
 
 
+def test_headings_are_found_in_a_folded_text(spark):
+    """The same tails as a search for any case, in texts of other scripts too, without such a search over the note."""
+    odd = ["", "İ", "K", "ÄȺ", "\U0001f600", "Σ ", "\n"]
+    bodies = [
+        "aLLergies: x", "Allergies y", "Discharge: \n PHYSICAL examination z", "discharge soon: physical examination", "DISCHARGE PE",
+        "primary diagnosis q DISCHARGE Diagnosis: r", "Followup\nFollow-up Instructions", "followup İnstructions:", "K: physical exam:", None,
+    ]
+    texts = [None if b is None else a + b + c + b.upper() for b in bodies for a in odd for c in odd]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    c, starts = F.col("text"), [s for s, _ in N.R.SECTIONS.values()]
+
+    def any_case(start):
+        return F.coalesce(*[N.find(c, f"(?:{s}){N.REST}", "(?im)", 0) for s in N._heading_forms(start)])
+
+    pairs = [x.alias(f"{k}{i}") for i, s in enumerate(starts) for k, x in (("new", N.from_heading(c, s)), ("old", any_case(s)))]
+    rows = df.select(*pairs).collect()
+    assert all(r[f"new{i}"] == r[f"old{i}"] for r in rows for i in range(len(starts)))
+    assert sum(r["old0"] is not None for r in rows) > 0
+    plan = df.select(*[N.from_heading(c, s) for s in starts])._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?im)" not in plan
+
+
 def test_chunks_equal_a_plain_loop(spark):
     chunker = embedding.character_chunker(40, 10)
     texts = ["word. " * 30, "no marks here at all " * 9, "a | b | " * 20, "short", ""]
