@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -311,3 +312,21 @@ def test_cut_reads_notes_whole(spark, delivered, tmp_path):
     done = cohort.cut(spark, delivered, cut, spark.createDataFrame([("1",), ("2",), (None,)], "subject_id string"))
     assert "note/discharge" in done
     assert spark.read.parquet(f"{cut}/note/discharge").head()["text"].count("\n") == NOTE.count("\n")
+
+
+def test_only_the_wanted_csv_tables_are_delivered(spark, tmp_path):
+    """A query that reads one table does not make the others; each is written once."""
+    from wardgraph.suite import tables
+    from wardgraph.suite.views import Views
+
+    rows = [(1, 3, "A", -1.0), (2, 4, "B", 1.0)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_nationkey bigint, c_mktsegment string, c_acctbal double").write.parquet(
+        str(tmp_path / "customer.parquet")
+    )
+    v = Views(spark, str(tmp_path))
+    folder = tables.hospital_csv(v, "hosp/omr")
+    assert [p.name for p in Path(folder, "hosp").iterdir()] == ["omr.csv"]
+    for _ in range(2):
+        assert tables.hospital_csv(v, "hosp/patients", "hosp/omr") == folder
+    for name in ("omr", "patients"):
+        assert files.csv_scan(spark, f"{folder}/hosp/{name}.csv", "subject_id bigint").count() == 2

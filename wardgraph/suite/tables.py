@@ -28,26 +28,30 @@ def _path(v: Views, name: str) -> str:
 # --- sources and sinks --------------------------------------------------------------
 
 
-def hospital_csv(v: Views) -> str:
-    """The views as a folder of CSV files, laid out as the hospital delivers them."""
-    held = {}
-
-    def deliver():
-        root = _path(v, "csv")
-        held["root"] = root
-        for module, name, table in [
-            ("hosp", "patients", v.patients),
-            ("hosp", "admissions", v.admissions),
-            ("hosp", "prescriptions", v.prescriptions),
-            ("hosp", "d_icd_procedures", v.d_icd),
-            ("ed", "edstays", v.edstays),
-            ("hosp", "omr", v.patients.select("subject_id", F.lit("x").alias("result_name"))),
-        ]:
-            times = [f.name for f in table.schema.fields if f.dataType.simpleString().startswith("timestamp")]
-            files.csv_sink(table.withColumns({c: format_ts(F.col(c)) for c in times}), f"{root}/{module}/{name}.csv")
-        return v.spark.createDataFrame([(root,)], "root string")
-
-    return v.once("hospital_csv", deliver).head()["root"]
+def hospital_csv(v: Views, *wanted: str) -> str:
+    """The views as a folder of CSV files, laid out as the hospital delivers them: those wanted, or all."""
+    tables = {
+        "hosp/patients": lambda: v.patients,
+        "hosp/admissions": lambda: v.admissions,
+        "hosp/prescriptions": lambda: v.prescriptions,
+        "hosp/d_icd_procedures": lambda: v.d_icd,
+        "ed/edstays": lambda: v.edstays,
+        "hosp/omr": lambda: v.patients.select("subject_id", F.lit("x").alias("result_name")),
+    }
+
+    def root() -> DataFrame:
+        return v.spark.createDataFrame([(_path(v, "csv"),)], "path string")
+
+    def deliver(place: str) -> DataFrame:
+        table, path = tables[place](), f"{folder}/{place}.csv"
+        times = [f.name for f in table.schema.fields if f.dataType.simpleString().startswith("timestamp")]
+        files.csv_sink(table.withColumns({c: format_ts(F.col(c)) for c in times}), path, "overwrite")
+        return v.spark.createDataFrame([(path,)], "path string")
+
+    folder = v.once("hospital_csv", root).head()["path"]
+    for place in wanted or tables:
+        v.once(f"csv_{place.replace('/', '_')}", lambda place=place: deliver(place))
+    return folder
 
 
 @query(
@@ -55,7 +59,7 @@ def hospital_csv(v: Views) -> str:
     f"SELECT hadm_id, subject_id, {ts('admittime')} AS admittime, admission_type FROM admissions",
 )
 def s1(v: Views) -> DataFrame:
-    path = f"{hospital_csv(v)}/hosp/admissions.csv"
+    path = f"{hospital_csv(v, 'hosp/admissions')}/hosp/admissions.csv"
     scanned = files.csv_scan(v.spark, path, schemas.HOSP["admissions"], ["hadm_id", "subject_id", "admittime", "admission_type"])
     return scanned.withColumn("admittime", format_ts(F.col("admittime")))
 
@@ -87,7 +91,7 @@ def cohort_admissions(v: Views) -> DataFrame:
 )
 def s2(v: Views) -> DataFrame:
     """The scan is split by Spark; the filter runs on each split."""
-    path = f"{hospital_csv(v)}/hosp/prescriptions.csv"
+    path = f"{hospital_csv(v, 'hosp/prescriptions')}/hosp/prescriptions.csv"
     scanned = files.csv_scan(v.spark, path, schemas.HOSP["prescriptions"])
     kept = cohort.restrict(scanned, cohort_ids(v), cohort_admissions(v))
     return kept.select("hadm_id", "subject_id", "drug", _text("starttime"))
@@ -96,7 +100,7 @@ def s2(v: Views) -> DataFrame:
 @query("s3_optional_source", "SELECT subject_id, stay_id FROM edstays")
 def s3(v: Views) -> DataFrame:
     """A missing table reads as an empty one and leaves the others alone."""
-    root = hospital_csv(v)
+    root = hospital_csv(v, "ed/edstays")
 
     def read(name: str) -> DataFrame:
         path = f"{root}/ed/{name}.csv"
