@@ -75,3 +75,16 @@ def test_text_files_in_line_order(spark, tmp_path):
     files.text_sink(lines, str(tmp_path / "report"), ["subject_id", "n"], "line")
     found = [x for f in sorted((tmp_path / "report").glob("part-*")) for x in f.read_text().splitlines()]
     assert found == sorted(found) and len(found) == 500
+
+
+def test_texts_are_delivered_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No task writes all texts; texts come back whole from all the files."""
+    from wardgraph.suite import tables
+    from wardgraph.suite.views import Views
+
+    rows = [(i, 'a "quoted"\nline, %d\n' % i, "en") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(tables, "_path", lambda v, name: str(tmp_path / name))
+    got = tables.s4_notes(Views(spark, str(tmp_path))).collect()
+    assert len(list((tmp_path / "texts.csv").glob("part-*.csv"))) > 1
+    assert sorted((r.doc_id, r.chars, r.lang) for r in got) == [(i, len(t), k) for i, t, k in rows]

@@ -139,11 +139,11 @@ def s4(v: Views) -> DataFrame:
     "SELECT doc_id, length(text) AS chars, md5(text) AS digest, lang FROM documents",
 )
 def s4_notes(v: Views) -> DataFrame:
-    """Texts with line breaks and quotes as one CSV file, read in splits."""
+    """Texts with line breaks and quotes as CSV files, one a task that writes them, read in splits."""
 
     def deliver():
         target = _path(v, "texts.csv")
-        files.csv_sink(v.table("documents").select("lang", "text", "doc_id").coalesce(1), target)
+        files.csv_sink(v.table("documents").select("lang", "text", "doc_id"), target)
         return files.notes_csv_scan(v.spark, target, "doc_id bigint, text string, lang string")
 
     read = v.once("texts_csv", deliver)
