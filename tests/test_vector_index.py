@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from wardgraph.suite.registry import QUERIES
 from wardgraph.operators import similarity, vector_index
 
 DDL = "subject_id bigint, vector array<float>"
@@ -35,3 +36,19 @@ def test_unknown_patient_and_pruning(spark, tmp_path):
     found = vector_index.nearest_patients(index, 5, 5, probes=2)
     assert found.count() == 5
     assert "dynamicpruning" in found._jdf.queryExecution().toString()
+
+
+def test_diagnosis_texts_are_made_once_for_vectors_and_search(spark, tmp_path, monkeypatch):
+    from wardgraph.suite import vectors
+
+    made = []
+
+    def listed(v):
+        made.append(v)
+        rows = [(1, ["red widget", "small ring"]), (2, ["blue bolt"]), (3, ["green gear"]), (None, ["blue bolt"])]
+        return spark.createDataFrame(rows, "subject_id bigint, all_diagnoses array<string>")
+
+    monkeypatch.setattr(vectors, "all_diagnoses", listed)
+    best = QUERIES["v5_patients_by_diagnosis"](spark, str(tmp_path)).collect()
+    assert [(r.subject_id, r.all_diagnoses) for r in best] == [(1, "red widget | small ring"), (2, "blue bolt"), (3, "green gear")]
+    assert len(made) == 1

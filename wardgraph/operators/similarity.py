@@ -56,8 +56,8 @@ def by_vector(vectors: DataFrame, reference: Column, k: int = 20, drop_same: boo
 def by_diagnosis(stored: DataFrame, query_text: DataFrame, embedder, k: int = 20) -> DataFrame:
     """The k patients whose diagnoses are nearest to a free text.
 
-    ``stored`` has subject_id, vector and all_diagnoses; ``query_text`` is one
-    row with the column ``text``.
+    ``stored`` has subject_id and vector, and keeps what else it has;
+    ``query_text`` is one row with the column ``text``.
     """
     from wardgraph.functions.text import diagnosis_query_text
 

@@ -177,7 +177,8 @@ VIEWS["dx_texts"] = """
 
 
 def dx_texts(v: Views) -> DataFrame:
-    return all_diagnoses(v).select("subject_id", F.array_join("all_diagnoses", " | ").alias("text"), "all_diagnoses")
+    """A patient's diagnoses as one text; the embedder and the search read what is written once."""
+    return v.once("dx_texts", lambda: all_diagnoses(v).select("subject_id", F.array_join("all_diagnoses", " | ").alias("text")))
 
 
 def dx_vectors(v: Views) -> DataFrame:
@@ -229,10 +230,11 @@ SEARCH = "the red widget, small ring; blue bolt"
 )
 def v5(v: Views) -> DataFrame:
     """Patients nearest to a diagnosis in free text."""
-    stored = dx_vectors(v).join(dx_texts(v).select("subject_id", F.col("text").alias("all_diagnoses")), "subject_id")
     asked = v.spark.createDataFrame([(SEARCH,)], "text string")
-    best = similarity.by_diagnosis(stored, asked, embedding.hashing_embedder(DIM), 20)
-    return best.select("subject_id", F.round("score", 5).alias("score"), "all_diagnoses")
+    # Only the texts of those found are looked up.
+    best = similarity.by_diagnosis(dx_vectors(v).where(F.col("subject_id").isNotNull()), asked, embedding.hashing_embedder(DIM), 20)
+    told = dx_texts(v).select("subject_id", F.col("text").alias("all_diagnoses")).join(F.broadcast(best), "subject_id")
+    return told.orderBy(F.desc("score"), "subject_id").select("subject_id", F.round("score", 5).alias("score"), "all_diagnoses")
 
 
 def text_items(v: Views) -> DataFrame:
