@@ -43,6 +43,40 @@ def test_reach_equals_a_search(spark, seed):
     assert len(got) == len(set(map(tuple, got)))
 
 
+def test_only_nodes_that_lead_on_take_part_in_the_rounds(spark, monkeypatch):
+    """A hundred leaves look up the head of their parent once; leaves of a closed ring have none."""
+    rows = []
+    whole = graph.written
+
+    def counted(df, name="stage", partition_by=None):
+        made = whole(df, name, partition_by)
+        rows.append((name, made.count()))
+        return made
+
+    monkeypatch.setattr(graph, "written", counted)
+    pairs = [("r", "a"), ("a", "b"), ("x", "y"), ("y", "x"), ("y", "far")] + [("b", f"leaf{i}") for i in range(100)]
+    got = graph.reachable(frame(spark, pairs), roots(spark, ["r", "r"])).collect()
+    assert sorted(map(tuple, got)) == sorted(plain_reach(pairs, ["r"]))
+    assert all(n < 10 for name, n in rows if name == "chains" and n != 105)
+    assert [n for name, n in rows if name == "chains"].count(105) == 1
+
+
+def test_links_both_ways_are_written_one_way(spark, monkeypatch):
+    rows = []
+    whole = graph.written
+
+    def counted(df, name="stage", partition_by=None):
+        made = whole(df, name, partition_by)
+        rows.append((name, made.count()))
+        return made
+
+    monkeypatch.setattr(graph, "written", counted)
+    pairs = [("p", "a"), ("a", "p"), ("q", "a"), ("q", "b"), ("b", "c"), ("c", "d")]
+    got = graph.within(frame(spark, pairs), roots(spark, ["p"]), 3).collect()
+    assert sorted(map(tuple, got)) == [("N|p", "N|a", 1), ("N|p", "N|b", 3), ("N|p", "N|p", 0), ("N|p", "N|q", 2)]
+    assert dict(rows)["links"] == 6
+
+
 def test_diamond_and_inbound_edge(spark):
     pairs = [("p", "a"), ("p", "b"), ("a", "c"), ("b", "c"), ("provider", "c")]
     got = graph.reachable(frame(spark, pairs), roots(spark, ["p"])).collect()

@@ -47,15 +47,21 @@ def _shortcuts(links: DataFrame, roots: DataFrame) -> DataFrame:
     Pointers are doubled, so a chain of n nodes takes log2(n) rounds. The head
     has several parents, none, or is a root. Nodes of a closed ring of single
     parents have no head and cannot be reached from outside; they are left out.
+    Only nodes that lead on take part in the rounds; the others, which are most
+    of a patient's graph, look up the head of their parent once, at the end.
     """
+    into = links.select(F.col("dst").alias("node"), F.col("src").alias("head"), F.lit(False).alias("leads"))
+    out_of = links.select(F.col("src").alias("node"), F.lit(None).cast("string").alias("head"), F.lit(True).alias("leads"))
     single = (
-        links.groupBy(F.col("dst").alias("node"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("head"))
+        into.unionByName(out_of)
+        .groupBy("node")
+        .agg(F.count("head").alias("n"), F.min("head").alias("head"), F.max("leads").alias("leads"))
         .where(F.col("n") == 1)
         .join(roots.select(F.col("root").alias("node")), "node", "left_anti")
-        .select("node", "head")
+        .select("node", "head", "leads")
     )
-    chains = written(single, "chains")
+    every = written(single, "chains")
+    chains = every.where("leads").select("node", "head")
     total = chains.count()
     rounds = math.ceil(math.log2(total + 1)) + 2 if total else 0
     settled = []
@@ -71,7 +77,14 @@ def _shortcuts(links: DataFrame, roots: DataFrame) -> DataFrame:
             break
         # Everyone's pointer doubles, so those still moving look up doubled ones.
         chains = moving.unionByName(_union(settled))
-    return _union(settled) if settled else chains
+    leaves = every.where(~F.col("leads")).select("node", "head")
+    if not settled:
+        return leaves
+    # Whoever moves to the end is in a ring or hangs off one, and so does its leaf.
+    ends = _union(settled).unionByName(moving.select("node", F.lit(None).cast("string").alias("head")))
+    ends = ends.select(F.col("node").alias("head"), F.col("head").alias("end"), F.lit(True).alias("known"))
+    led = leaves.join(ends, "head", "left").select("node", F.when(F.col("known"), F.col("end")).otherwise(F.col("head")).alias("head"))
+    return _union(settled).unionByName(led.where(F.col("head").isNotNull()))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -109,16 +122,17 @@ def reachable(edges: DataFrame, roots: DataFrame, directed: bool = True) -> Data
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    # Each pair is there once: a node has one head, and no node with a head is in ``seen``.
     tails = seen.withColumnRenamed("node", "head").join(short, "head").select("root", "node")
-    return seen.unionByName(tails).distinct()
+    return seen.unionByName(tails)
 
 
 def within(edges: DataFrame, roots: DataFrame, hops: int, directed: bool = False) -> DataFrame:
     """(root, node, hops) for nodes at most ``hops`` edges away, with the least number."""
-    pairs = ends(edges)
+    # Written one way; the other is the same rows read with their ends exchanged.
+    links = written(ends(edges).distinct(), "links")
     if not directed:
-        pairs = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    links = written(pairs.distinct(), "links")
+        links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("hops")).distinct()
     frontier = seen
     for n in range(1, hops + 1):
