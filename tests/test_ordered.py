@@ -94,3 +94,34 @@ def test_next_visit_equals_a_loop(spark):
         if k == "d" and later:
             want.add((s, ident, later[0][1]))
     assert {(r.subject_id, r.discharge_id, r.ed_event_id) for r in got} == want
+
+
+def test_rows_are_shuffled_once_for_runs(spark):
+    """The summary of the slices is taken from the rows as they lie for the windows."""
+    rows = [(1, 10, BASE + timedelta(days=40 * i), None, i, "admit", "a") for i in range(6)]
+    schema = "subject_id bigint, hadm_id bigint, intime timestamp_ntz, outtime timestamp_ntz, transfer_id bigint, eventtype string, careunit string"
+    stays = flow.continuous_stays(spark.createDataFrame(rows, schema))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, value in settings.items():
+            spark.conf.set(k, value)
+        text = stays._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    by_slice = [line for line in text.splitlines() if " Exchange hashpartitioning(subject_id" in line and "_slice" in line and "Reused" not in line]
+    assert "ReusedExchange" in text and len(by_slice) == 2  # the rows, and the summary
+    assert stays.count() == 6
+
+
+def test_previous_fields_are_not_shuffled_twice(spark):
+    df = spark.createDataFrame(random_rows(3), "key bigint, ts timestamp_ntz, id bigint, v string")
+    seen = ordered.along(df, ["key"], ["ts", "id"], ordered.previous("p", fields=["id", "v"]))
+    plain = ordered.along(df, ["key"], ["ts", "id"], ordered.previous("p", F.struct("id", "v")))
+    assert sorted(map(str, seen.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_a_slice_holds_more_than_a_day(spark):
+    days = spark.range(60).selectExpr("1L as key", "id", "cast(timestampadd(DAY, cast(id as int), timestamp'2150-01-01') as timestamp_ntz) as ts")
+    assert ordered.with_slice(days, "ts").select(ordered.SLICE).distinct().count() < 12
