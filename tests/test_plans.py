@@ -58,3 +58,37 @@ def test_hot_patient_is_many_join_keys(spark):
     keyed = intervals.facts_by_day(days, "t")
     biggest = keyed.groupBy(*intervals.JOIN_KEYS).count().agg({"count": "max"}).head()[0]
     assert biggest <= 5
+
+
+def test_dated_facts_are_shuffled_once_more_at_most(spark):
+    """Facts that were joined by their admission meet the stays without another shuffle; stays are not laid out over days."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        v = Views(spark, SF)
+        text = plan(intervals.assign_dates(v.icd_procedures, v.admission_windows, "chartdate"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("lineitem.parquet]") == 1 and text.count("Exchange hashpartitioning") == 3
+    assert "Generate" not in text
+
+
+def test_dated_facts_of_repeated_and_unknown_keys(spark):
+    stays = spark.sql(
+        """SELECT * FROM VALUES (1L, 10L, 'a', 'U', timestamp_ntz'2150-01-01 08:00:00', timestamp_ntz'2150-01-03 08:00:00'),
+           (1L, 10L, 'a', 'U', timestamp_ntz'2150-01-01 08:00:00', timestamp_ntz'2150-01-03 08:00:00'),
+           (2L, 10L, 'b', 'U', timestamp_ntz'2150-01-01 08:00:00', CAST(NULL AS timestamp_ntz)),
+           (CAST(NULL AS bigint), 10L, 'c', 'U', CAST(NULL AS timestamp_ntz), CAST(NULL AS timestamp_ntz)),
+           (1L, 10L, 'd', 'U', timestamp_ntz'2150-01-03 08:00:00', timestamp_ntz'2150-01-01 08:00:00'),
+           (1L, CAST(NULL AS bigint), 'e', 'U', CAST(NULL AS timestamp_ntz), CAST(NULL AS timestamp_ntz))
+           AS t(subject_id, hadm_id, event_id, label, intime, outtime)"""
+    )
+    facts_ = spark.sql(
+        """SELECT * FROM VALUES (1L, 10L, date'2150-01-01'), (1L, 10L, date'2150-01-04'), (2L, 10L, date'2140-01-01'),
+           (CAST(NULL AS bigint), 10L, date'2150-01-02'), (1L, CAST(NULL AS bigint), date'2150-01-02'), (1L, 10L, CAST(NULL AS date))
+           AS t(subject_id, hadm_id, d)"""
+    )
+    got = intervals.assign_dates(facts_, stays, "d")
+    assert got.columns == ["subject_id", "hadm_id", "event_id", "label", "intime", "outtime", "d"]
+    assert sorted((r.event_id, str(r.d)) for r in got.collect()) == [("a", "2150-01-01"), ("a", "2150-01-01"), ("b", "2140-01-01")]
+    strict = intervals.assign_dates(facts_, stays, "d", strict=True)
+    assert [(r.event_id, str(r.d)) for r in strict.collect()] == [("b", "2140-01-01")]

@@ -32,6 +32,7 @@ def bundle(
 ) -> DataFrame:
     """One row per ``keys`` with the ordered texts and their number.
 
+    Texts of equal ``order``, or all without one, are ordered by themselves.
     ``flagged`` is (condition, list name, count name) for a second list of the
     rows that meet a condition. The keys of the interval join stay among the
     grouping keys: they follow from stay and time, so the groups are the same
@@ -39,8 +40,8 @@ def bundle(
     """
     by = [k for k in JOIN_KEYS if k in assigned.columns and k not in keys]
     parts = {f"o{i}": c for i, c in enumerate(order)}
-    flag = flagged[0] if flagged else F.lit(False)
-    row = F.struct(*[c.alias(n) for n, c in parts.items()], text.alias("text"), flag.alias("flag"))
+    flag = [flagged[0].alias("flag")] if flagged else []
+    row = F.struct(*[c.alias(n) for n, c in parts.items()], text.alias("text"), *flag)
     grouped = assigned.groupBy(*by, *keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"), *extra)
     out = grouped.withColumns(
         {

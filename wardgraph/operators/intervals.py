@@ -71,25 +71,24 @@ def assign_dates(facts: DataFrame, stays: DataFrame, date: str, strict: bool = F
     A stay that lacks a bound takes every fact of its admission. With
     ``strict`` the date counts as midnight, which leaves out the day of
     arrival.
+
+    Facts and stays meet by admission, once for closed and open stays, and are
+    not laid out over days: facts that were joined by their admission before
+    stay where they are. A hot admission is split by Spark's handling of skew.
     """
-    f = facts.where(F.col(date).isNotNull() & F.col("hadm_id").isNotNull())
-    s = stays.where(F.col("hadm_id").isNotNull()).select("subject_id", "hadm_id", *STAY_COLUMNS)
-    closed = F.col("intime").isNotNull() & F.col("outtime").isNotNull()
-    day = F.col(date)
+    f = facts.where(F.col(date).isNotNull() & F.col("hadm_id").isNotNull()).alias("f")
+    s = stays.where(F.col("hadm_id").isNotNull()).select("subject_id", "hadm_id", *STAY_COLUMNS).alias("s")
+    closed = F.col("s.intime").isNotNull() & F.col("s.outtime").isNotNull()
+    day = F.col(f"f.{date}")
     inside = (
-        day.cast("timestamp_ntz").between(F.col("intime"), F.col("outtime"))
+        day.cast("timestamp_ntz").between(F.col("s.intime"), F.col("s.outtime"))
         if strict
-        else day.between(F.to_date("intime"), F.to_date("outtime"))
-    )
-    bounded = (
-        s.where(closed & (F.col("outtime") >= F.col("intime")))
-        .withColumn(DAY, F.explode(F.sequence(F.to_date("intime"), F.to_date("outtime"))))
-        .join(f.withColumn(DAY, day), ["subject_id", "hadm_id", DAY])
-        .where(inside)
-        .drop(DAY)
+        else day.between(F.to_date("s.intime"), F.to_date("s.outtime")) & (F.col("s.outtime") >= F.col("s.intime"))
     )
-    open_ended = s.where(~closed).join(f, ["subject_id", "hadm_id"])
-    return bounded.unionByName(open_ended)
+    # As a condition, not a key: with the patient as a second key Spark would shuffle the facts again.
+    same = F.when(F.col("f.subject_id") == F.col("s.subject_id"), ~closed | inside)
+    rest = [F.col(f"f.{c}") for c in facts.columns if c not in ("subject_id", "hadm_id")]
+    return s.join(f, (F.col("s.hadm_id") == F.col("f.hadm_id")) & same).select("s.*", *rest)
 
 
 def not_attached(dated: DataFrame, attached: DataFrame, date: str) -> DataFrame:

@@ -514,7 +514,7 @@ def a5(v: Views) -> DataFrame:
         clinical.or_default(F.col("long_title"), "Unknown").alias("text"),
     )
     made = bundles.bundle(
-        icu.unionByName(icd), ["event_id", "time", "source"], F.col("text"), [F.col("text")], "procedures", "procedure_count"
+        icu.unionByName(icd), ["event_id", "time", "source"], F.col("text"), [], "procedures", "procedure_count"
     )
     return made.select("event_id", _time("time"), "source", _joined("procedures"), "procedure_count")
 
