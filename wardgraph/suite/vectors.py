@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardgraph.functions.vectors import cosine, mean_vector
+from wardgraph.functions.vectors import mean_vector
 from wardgraph.operators import comparison, embedding, similarity, vector_index
 from wardgraph.session import shared_dir, written
 from wardgraph.suite import facts, graph
@@ -114,10 +114,7 @@ def v4_recall(v: Views) -> DataFrame:
     asked = vector_index.asked_for(stored, F.col("subject_id") % 50 == 0).orderBy(F.xxhash64("query"), "query").limit(ASKED)
     asked = written(asked, "asked")
     # The exact answer: a bounded set of vectors beside all.
-    others = v.vectors.join(F.broadcast(asked), F.col("subject_id") != F.col("query"))
-    scores = others.select("query", "subject_id", cosine(F.col("vector"), F.col("unit")).alias("score")).where(F.round("score", similarity.SAME) < 1.0)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "subject_id"))
-    exact = written(scores.withColumn("place", place).where("place <= 20").select("query", "subject_id"), "exact")
+    exact = written(vector_index.exact(v.vectors, asked, 20).select("query", "subject_id"), "exact")
     out = None
     for probes, goal in ((vector_index.PROBES, 0.9), (vector_index.CELLS, 1.0)):
         one = vector_index.recall(vector_index.search(stored, asked, 20, probes), exact)
