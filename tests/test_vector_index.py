@@ -92,3 +92,10 @@ def test_learning_reads_all_vectors_a_fixed_number_of_times(spark, tmp_path):
     df = spark.createDataFrame(rows(200), DDL)
     vector_index.build(df.mapInArrow(counted, df.schema), str(tmp_path / "ix"), cells=4)
     assert seen.value <= 5 * 200
+
+
+def test_norms_are_not_computed_for_every_place(spark):
+    df = spark.createDataFrame(rows(3), DDL)
+    text = vector_index._unit(df, "subject_id")._jdf.queryExecution().optimizedPlan().toString()
+    # One for the filter, one for the division, which divides by a bound variable.
+    assert text.count("SQRT(") == 2 and "/ SQRT(" not in text and "/ lambda" in text

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardgraph.functions.text import let
 from wardgraph.functions.vectors import dot, norm
 from wardgraph.operators.similarity import SAME
 from wardgraph.session import written
@@ -55,9 +56,10 @@ class Index:
 
 
 def _unit(vectors: DataFrame, key: str) -> DataFrame:
-    v = F.transform("vector", lambda x: x.cast("double"))
-    sized = vectors.select(key, v.alias("vector")).withColumn("_norm", norm(F.col("vector"))).where("_norm > 0")
-    return sized.select(key, F.transform("vector", lambda x: x / F.col("_norm")).alias("unit"))
+    sized = vectors.select(key, F.transform("vector", lambda x: x.cast("double")).alias("vector")).where(norm(F.col("vector")) > 0)
+    # The norm is bound once: as a column it would be put into the lambda and computed for every place.
+    unit = let(norm(F.col("vector")), lambda n: F.transform("vector", lambda x: x / n))
+    return sized.select(key, unit.alias("unit"))
 
 
 def _store(units: DataFrame, model: KMeansModel, path: str, mode: str) -> None:
@@ -99,14 +101,6 @@ def _probed(index: Index, asked: DataFrame, probes: int) -> DataFrame:
     return asked.withColumn("_centres", centres).withColumn("cell", F.explode(cells)).drop("_centres")
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Dot products of all rows of ``a`` with all of ``b``, added up place by place as ``dot`` does, so that equal vectors score alike."""
-    out = np.zeros((len(a), len(b)))
-    for i in range(a.shape[1]):
-        out += a[:, i, None] * b[None, :, i]
-    return out
-
-
 def _best_of_batches(rows: DataFrame, vector: str, key: str, asked: Sequence[Row], k: int, drop_same: bool, by_cell: bool) -> DataFrame:
     """(query, ``key``, score): of each batch of ``rows`` the k best for each query, and what ties with the last of them.
 
@@ -118,12 +112,20 @@ def _best_of_batches(rows: DataFrame, vector: str, key: str, asked: Sequence[Row
     cells = [set(a["cells"]) for a in asked] if by_cell else []
     fields = [T.StructField("query", rows.schema[key].dataType), rows.schema[key], T.StructField("score", T.DoubleType())]
 
+    # Inside, because a task may not have this module.
+    def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Dot products of all rows, added up place by place as ``dot`` does, so that equal vectors score alike."""
+        out = np.zeros((len(a), len(b)))
+        for i in range(a.shape[1]):
+            out += a[:, i, None] * b[None, :, i]
+        return out
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = np.sqrt([_products(u[None], u[None])[0, 0] for u in units])
+        lengths = np.sqrt([products(u[None], u[None])[0, 0] for u in units])
         for batch in batches:
             keys = batch.column(key)
             stored = batch.column(vector).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(keys), -1)
-            scores = _products(stored, units)
+            scores = products(stored, units)
             if by_cell:
                 cell = batch.column("cell").to_numpy(zero_copy_only=False)
             else:
