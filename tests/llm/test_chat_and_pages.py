@@ -125,3 +125,19 @@ def test_page_tables(spark):
     out = pages.main_text(spark.createDataFrame(rows, kind)).collect()
     assert sorted(r["text"] for r in out) == sorted("word " * 5000 + str(k) for k in range(4))
     assert {r["host"] for r in out} == {"h"} and {r["_x"]["a"] for r in out} == set(range(4))
+
+
+def test_templates_inside_articles(spark):
+    """Containers that recur on a host go from its articles; paragraphs that its pages share, and what stands on few pages, stay."""
+    bar = "<div><p>Follow us</p><ul><li>One</li><li>Two</li></ul></div>"
+    quote, table = "<p>As the law says.</p>", "<thead><tr><td>Name</td></tr></thead>"
+
+    def page(k):
+        return f"<body><nav>Top</nav><article><h1>Title</h1><p>Story {k} is told here.</p>{quote}<table>{table}<tr><td>{k} of many</td></tr></table>{bar}</article></body>"
+
+    rows = [(k, "http://a/x", page(k)) for k in range(6)] + [(9, "http://b/x", page(9))] + [(k, f"http://c/{k}", f"<main><div>{'All of it. ' * 9}</div><p>{k}</p></main>") for k in range(10, 16)]
+    out = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    told = "Title Story {0} is told here. As the law says. Name {0} of many"
+    assert [out[k] for k in range(6)] == [told.format(k) for k in range(6)]
+    assert out[9] == told.format(9) + " Follow us One Two"  # one page of its host
+    assert [out[k] for k in range(10, 16)] == [f"{'All of it. ' * 9}{k}" for k in range(10, 16)]  # more than half of the text
